@@ -21,8 +21,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    from readalong.llm.license_scan import scan
+
+    return scan(_documents(spark, sf_dir)).drop("places")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_license_scan": op8_license_scan,
         "op10_token_counts": op10_token_counts,
     }
 
