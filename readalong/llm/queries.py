@@ -13,6 +13,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels whose remainder modulo 4 is not 2."""
+    from readalong.llm.quality import fit, score
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(4) != 2)
+    found = score(docs, fit(docs, labels.select("doc_id", F.col("quality").alias("label"))))
+    return found.withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by piece_bpe_32k.model."""
     from readalong.llm.token_counts import count_tokens
@@ -21,6 +31,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose remainder modulo 5 is not 0."""
+    from readalong.llm.language_id import fit, predict
+
+    docs = _documents(spark, sf_dir)
+    found = predict(docs, fit(docs.filter(_remainder(5) != 0)))
+    return found.withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
     from readalong.llm.license_scan import scan
@@ -30,7 +54,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_language_id": op6_language_id,
         "op8_license_scan": op8_license_scan,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_token_counts": op10_token_counts,
     }
 
