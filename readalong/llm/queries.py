@@ -31,6 +31,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens from all documents."""
+    from readalong.llm.packing import packed_documents
+
+    return packed_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _remainder(n: int):
     """crc32 of doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
@@ -45,6 +52,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that stands, exactly or edited, in a document."""
+    from readalong.llm.decontamination import matches
+
+    return matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
     from readalong.llm.license_scan import scan
@@ -54,7 +68,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_license_scan": op8_license_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_token_counts": op10_token_counts,
