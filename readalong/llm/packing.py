@@ -113,6 +113,16 @@ class Encoder:
         return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
+    """This worker process's encoder of a file, with what it remembers from earlier tasks."""
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
+
+
 def _merger(made: dict):
     """A function from a text to its ids, and the bytes of each id; None where the file is not plain byte-level BPE in id order."""
     splitter, model = made["pre_tokenizer"] or {}, made["model"]
@@ -142,10 +152,10 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end)
+        own = encoder(tokenizer_path, end)
         for batch in slices(batches):
             rows: dict[str, list] = {"id": [], "piece": [], "start": [], "length": [], "ids": []}
-            for key, ids in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+            for key, ids in zip(batch.column("id").to_pylist(), own.encode(batch.column("text").to_pylist()), strict=True):
                 first = (len(ids) - 1) % capacity + 1
                 for k, hi in enumerate(range(first, len(ids) + 1, capacity)):
                     lo = max(0, hi - capacity) if k else 0
