@@ -31,6 +31,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 50 bytes that also start in an earlier document."""
+    from readalong.llm.suffix_dedup import dedup
+
+    found = dedup(_documents(spark, sf_dir), 50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a window of 20 words which starts earlier elsewhere."""
     from readalong.llm.substring_dedup import dedup
@@ -76,6 +84,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
