@@ -236,7 +236,7 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), order: tuple[str, ...] =
     # at most capacity * salts cells, whatever the input
     before = cells.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
     own = Window.partitionBy("length", "_salt").orderBy(*order)
-    ranked = pieces.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(before), ["length", "_salt"])
+    ranked = pieces.withColumn("_rank", F.row_number().over(own)).join(before, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).drop("_salt", "_before")
     key = placed[:, 0] * 2**44 + placed[:, 1]
     by = np.argsort(key)

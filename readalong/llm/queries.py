@@ -39,6 +39,13 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: sets of 3-word shingles, similarity 0.85 or more."""
+    from readalong.llm.near_dedup import classes
+
+    return classes(_documents(spark, sf_dir), 85, 3).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a window of 20 words which starts earlier elsewhere."""
     from readalong.llm.substring_dedup import dedup
@@ -85,6 +92,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
