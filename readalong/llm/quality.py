@@ -198,3 +198,16 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return arrow_map(docs.select(*keep, text_of(docs).alias("body for scoring")), run, f"{schema}, score double")
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
+    """``docs``, with all their columns, without the rows that score less than ``least``; all rows if nothing was learned."""
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body for scoring"):
+            good = model.score(features(batch.column("body for scoring"))) >= least
+            yield batch.filter(pa.array(good)).drop_columns(["body for scoring"])
+
+    return arrow_map(docs.withColumn("body for scoring", text_of(docs)), run, docs.schema)

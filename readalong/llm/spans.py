@@ -44,11 +44,11 @@ def buckets(docs: DataFrame) -> int:
 
 
 def keyed(docs: DataFrame, n: int, rest: bool = False) -> DataFrame:
-    """(id, tk, db, text[, rest]) of every row; ``rest`` is a struct of all columns but text."""
+    """(id, tk, db, text[, rest]) of every row; ``rest`` is a struct of all columns but text, and of whether the text is null."""
     text = text_of(docs)
     columns = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text")]
     if rest:
-        columns.append(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"))
+        columns.append(F.struct(*[docs[c] for c in docs.columns if c != "text"], docs["text"].isNull().alias("text is null")).alias("rest"))
     return docs.select(*columns).withColumn("db", F.pmod(F.xxhash64("id", "tk"), F.lit(n)).cast("int"))
 
 

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readalong.llm.common import arrow_map, buffers, drop_folder, staged
 from readalong.llm.spans import DOC, ENTRY, ROUTED_SQL, VERDICT, Verdicts, buckets, exchanged, in_batches, keyed, mixed, ranks, settle_bits, unzip_arrays, verdict_rows, windows, with_verdicts, zip_arrays
@@ -322,13 +324,13 @@ def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
 def rewritten(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with their columns, the repeated ranges cut out of ``text``; ``n_chars`` follows the new text.
 
-    A character of which only some bytes would go stays whole.  Texts that are null stay null.  Rows and
-    nulls are treated as by ``dedup``.
+    A character of which only some bytes would go stays whole.  Rows that lose all of their text go; null
+    and empty texts stay as they are.  Rows are treated as by ``dedup``.
     """
-    from pyspark.sql import functions as F
-
     n = buckets(docs)
+    others = [c for c in docs.columns if c != "text"]
     source = keyed(docs, n, rest=True)
+    schema = T.StructType([T.StructField("text", T.StringType()), source.schema["rest"]])
 
     def use(batch: pa.RecordBatch, known: Verdicts) -> Iterator[pa.RecordBatch]:
         raw, off, marked = _cut(batch, known, width)
@@ -336,11 +338,14 @@ def rewritten(docs: DataFrame, width: int = 50) -> DataFrame:
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         if len(lead):
             marked = np.repeat(np.minimum.reduceat(marked.astype(np.uint8), lead).astype(bool), np.diff(np.append(lead, len(raw))))
-        kept, _ = _parts(raw, off, marked)
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), batch.column("rest")], ["text", "rest"])
+        kept, gone = _parts(raw, off, marked)
+        null = batch.column("rest").field(len(others)).to_pylist()
+        texts = pa.array([None if x else t for t, x in zip(kept, null, strict=True)], pa.binary()).cast(pa.string())
+        left = pa.array((gone == 0) | (gone < np.diff(off)), pa.bool_())
+        yield pa.RecordBatch.from_arrays([texts, batch.column("rest")], ["text", "rest"]).filter(left)
 
-    out = with_verdicts(source, _verdicts(source, n, width), n, use, f"text string, rest {source.schema['rest'].dataType.simpleString()}")
-    columns = {c: F.col("rest")[c].alias(c) for c in docs.columns if c != "text"}
+    out = with_verdicts(source, _verdicts(source, n, width), n, use, schema)
+    columns = {c: F.col("rest")[c].alias(c) for c in others}
     if "n_chars" in columns:
-        columns["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        columns["n_chars"] = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("rest")["n_chars"]).alias("n_chars")
     return out.select(*[F.col("text") if c == "text" else columns[c] for c in docs.columns])
