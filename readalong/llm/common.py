@@ -106,6 +106,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start = end
 
 
+#: Text bytes that one numpy pass works on: its 64-bit temporaries then stay within a core's cache.
+PASS_BYTES = 1 << 19
+
+
+def passes(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, offsets) of small runs of a batch's texts."""
+    raw, off = buffers(batch.column(column))
+    first = 0
+    while first < len(off) - 1:
+        end = max(first + 1, int(np.searchsorted(off, off[first] + PASS_BYTES, "right")) - 1)
+        yield first, raw[off[first] : off[end]], off[first : end + 1] - off[first]
+        first = end
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` under this package's batch limits."""
     tune(df.sparkSession)

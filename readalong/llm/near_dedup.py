@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readalong.llm.common import arrow_map, buffers, slices, staged, text_of
+from readalong.llm.common import arrow_map, passes, slices, staged, text_of
 from readalong.llm.spans import NULL_ID, mixed, settle_bits, windows
 from readalong.llm.substring_dedup import word_hashes, words
 
@@ -45,19 +45,19 @@ _FLIP = (mixed(10, BANDS * ROWS) >> np.uint64(32)).astype(np.uint32)
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     """The sorted hashes of each text's distinct shingles; a text with fewer words has one, one without words none."""
-    raw, off = buffers(batch.column("text"))
-    raw = _LOWER[raw]
-    starts, ends, first = words(raw, off)
-    word = word_hashes(raw, starts, ends)
-    full = settle_bits(windows(word, size))
     out = []
-    for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
-        if b - a >= size:
-            out.append(np.unique(full[a : b - size + 1]))
-        elif b > a:
-            out.append(settle_bits(windows(word[a:b], b - a) + np.uint64(b - a)))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    for _, raw, off in passes(batch):
+        raw = _LOWER[raw]
+        starts, ends, first = words(raw, off)
+        word = word_hashes(raw, starts, ends)
+        full = settle_bits(windows(word, size))
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            if b - a >= size:
+                out.append(np.unique(full[a : b - size + 1]))
+            elif b > a:
+                out.append(settle_bits(windows(word[a:b], b - a) + np.uint64(b - a)))
+            else:
+                out.append(np.zeros(0, np.uint64))
     return out
 
 

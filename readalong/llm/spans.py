@@ -252,7 +252,7 @@ def windows(symbols: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash (mod 2**64) of every run of ``width`` symbols, by doubling; the last width - 1 entries are cut off."""
     if len(symbols) < width:
         return np.zeros(0, np.uint64)
-    power, h, size = BASE, symbols, 1
+    factor, h, size = int(BASE), symbols, 1
     out, have, done = None, 0, width
     while True:
         if done & 1:  # the low bits' blocks stand behind those of the higher ones
@@ -265,8 +265,8 @@ def windows(symbols: np.ndarray, width: int) -> np.ndarray:
         done >>= 1
         if not done:
             return out[: len(symbols) - width + 1]
-        h = h[: len(h) - size] * power + h[size:]
-        power = power * power
+        h = h[: len(h) - size] * np.uint64(factor) + h[size:]
+        factor = factor * factor % 2**64
         size *= 2
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from readalong.llm.common import buffers, staged
+from readalong.llm.common import buffers, passes, staged
 from readalong.llm.spans import BASE, INVERSE, Verdicts, buckets, exchanged, keyed, mixed, settle_bits, windows, with_verdicts
 
 _BYTE = mixed(3, 256)
@@ -53,13 +53,15 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def _window_entries(width: int):
     def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raw, off = buffers(batch.column("text"))
-        starts, ends, first = words(raw, off)
-        key = settle_bits(windows(word_hashes(raw, starts, ends), width))
-        count = np.diff(first)
-        doc = np.repeat(np.arange(len(count)), np.maximum(0, count - width + 1))
-        at = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(0, count - width + 1)) - np.maximum(0, count - width + 1), np.maximum(0, count - width + 1))
-        return doc, at, key[first[doc] + at] if len(doc) else np.zeros(0, np.uint64)
+        parts = []
+        for before, raw, off in passes(batch):
+            starts, ends, first = words(raw, off)
+            key = settle_bits(windows(word_hashes(raw, starts, ends), width))
+            count = np.maximum(0, np.diff(first) - width + 1)
+            doc = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            parts.append((doc + before, at, key[first[doc] + at] if len(doc) else key[:0]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     return entries
 

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readalong.llm.common import arrow_map, buffers, drop_folder, staged
-from readalong.llm.spans import DOC, ENTRY, ROUTED_SQL, VERDICT, Verdicts, buckets, exchanged, in_batches, keyed, mixed, ranks, settle_bits, unzip_arrays, verdict_rows, windows, with_verdicts, zip_arrays
+from readalong.llm.common import arrow_map, buffers, drop_folder, passes, staged
+from readalong.llm.spans import DOC, ENTRY, ROUTED_SQL, VERDICT, Verdicts, buckets, doc_table, exchanged, in_batches, keyed, mixed, ranks, settle_bits, unzip_arrays, verdict_rows, windows, with_verdicts, zip_arrays
 from readalong.llm.substring_dedup import _marked, intervals
 
 #: Bytes of an anchor's gram.
 GRAM = 18
 #: Suffixes are sorted by so many bytes with multikey quicksort; blind tries order what is still equal.
-SHALLOW = 16
+SHALLOW = 32
 _BYTE = mixed(5, 256)
 #: Low bits of a sort value that hold the place in the slice, which breaks ties to the left.
 _PLACE = 28
@@ -67,7 +67,8 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, n
     last = np.append(new[1:], len(at)) - 1
     owner = doc[new]
     number = np.arange(len(new)) - np.searchsorted(owner, owner)
-    return owner, gram[at[new]], start[new], start[last], number
+    # minima crowd at the low end; mix them anew, as buckets go by the high bits
+    return owner, settle_bits(gram[at[new]] * np.uint64(0xC2B2AE3D27D4EB4F)), start[new], start[last], number
 
 
 class BlindTrie:
@@ -161,9 +162,18 @@ def deep_shallow(text: bytes, suffixes: np.ndarray, depth: int, shallow: int = S
     return order, np.cumsum(classes) - 1
 
 
+def _anchors_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
+    """``anchors`` of a whole batch, in small passes; starts count from the beginning of their document."""
+    parts = []
+    for before, raw, off in passes(batch):
+        doc, key, first, last, number = anchors(raw, off, width)
+        parts.append((doc + before, key, first - off[doc], last - off[doc], number))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _anchor_entries(width: int):
     def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        doc, key, _, _, number = anchors(*buffers(batch.column("text")), width)
+        doc, key, _, _, number = _anchors_of(batch, width)
         return doc, number, key
 
     return entries
@@ -171,11 +181,8 @@ def _anchor_entries(width: int):
 
 def _runs(batch: pa.RecordBatch, known: Verdicts, width: int, n: int) -> list[tuple]:
     """Rows that carry the runs of a slice's shared anchors to the anchors' buckets, and verdicts on those settled here."""
-    raw, off = buffers(batch.column("text"))
-    docs = np.empty(batch.num_rows, DOC)
-    for name in ("id", "tk", "db"):
-        docs[name] = batch.column(name).to_numpy(zero_copy_only=False)
-    doc, key, first, last, _ = anchors(raw, off, width)
+    docs = doc_table(batch)
+    doc, key, first, last, _ = _anchors_of(batch, width)
     where = np.searchsorted(doc, np.arange(batch.num_rows + 1))
     named, number, size = known.of(batch)
     wanted = np.zeros(len(doc) + 1, np.int64)
@@ -184,9 +191,11 @@ def _runs(batch: pa.RecordBatch, known: Verdicts, width: int, n: int) -> list[tu
     chosen = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
     if not len(chosen):
         return []
+    raw, off = buffers(batch.column("text"))
     body, rank = raw.tobytes(), ranks(docs)
     held: dict[bytes, list[int]] = {}
-    for j, a, b in zip(chosen.tolist(), first[chosen].tolist(), (last[chosen] + width).tolist(), strict=True):
+    at = off[doc] + first
+    for j, a, b in zip(chosen.tolist(), at[chosen].tolist(), (at + last - first + width)[chosen].tolist(), strict=True):
         held.setdefault(body[a:b], []).append(j)
     settled, travel = [], []
     for members in held.values():
@@ -198,15 +207,15 @@ def _runs(batch: pa.RecordBatch, known: Verdicts, width: int, n: int) -> list[tu
         else:
             travel += members
     settled, travel = np.array(settled, np.int64), np.sort(np.array(travel, np.int64))
-    rows = verdict_rows(docs, doc[settled], first[settled] - off[doc[settled]], last[settled] - first[settled] + 1)
+    rows = verdict_rows(docs, doc[settled], first[settled], last[settled] - first[settled] + 1)
     bucket = ((key[travel] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     for part in np.split(travel[order], np.flatnonzero(np.diff(bucket[order])) + 1):
         owners, own = np.unique(doc[part], return_inverse=True)
         size = last[part] - first[part] + width
-        text = b"".join(body[a : a + s] for a, s in zip(first[part].tolist(), size.tolist(), strict=True))
+        text = b"".join(body[a : a + s] for a, s in zip(at[part].tolist(), size.tolist(), strict=True))
         k = int((key[part[0]] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32))
-        rows.append((k, ENTRY, docs[owners].tobytes(), zip_arrays(own, first[part] - off[doc[part]], size), key[part].astype("<u8").tobytes() + zstandard.compress(text, 1)))
+        rows.append((k, ENTRY, docs[owners].tobytes(), zip_arrays(own, first[part], size), key[part].astype("<u8").tobytes() + zstandard.compress(text, 1)))
     return rows
 
 
