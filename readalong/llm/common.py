@@ -7,6 +7,7 @@ lineage.  Where that setting is absent (tests, local use) a folder of our own is
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,10 +66,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it again; the path lets the caller drop it early."""
+#: Narrow rows that one task writes.
+ROWS_PER_TASK = 50_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it again; the path lets the caller drop it early.
+
+    With ``rows``, about how many narrow rows there are, as many tasks write as these need, instead of one
+    for each shuffle partition; the number grows with the rows.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name) + "/t"
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

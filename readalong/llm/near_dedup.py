@@ -35,7 +35,7 @@ MARGIN = 0.22
 BUCKET = 2000
 BLOCK = 1500
 #: Nodes of a group that one round compares with all its blocks, at first; each round takes four times more.
-QUERIES = 64
+QUERIES = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -170,30 +170,30 @@ def _bucket_edges(threshold: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, label) of every node of ``edges`` (a, b): the smallest node that it reaches.
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(v, label) of every node of ``edges`` (a, b): the smallest node that it reaches; ``rows`` is about their number.
 
-    Large-star and small-star steps in turn until no edge changes; every step is stored, so a lost
+    Large-star and small-star steps in turn until only stars are left; every step is stored, so a lost
     executor costs one step.  A node with very many edges is joined by its key with a stored table of one
     row for each node, which Spark can split.
     """
-    edges, _ = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    mark = None
+    edges, _ = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges", rows)
+    rows = edges.count()
     while True:
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("w")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("w")))
-        least, _ = staged(both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least, _ = staged(both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m")), "least", rows)
         large = both.filter("w > u").join(least, "u").select(F.col("m").alias("a"), F.col("w").alias("b")).filter("a <> b").distinct()
-        large, _ = staged(large, "large")
+        large, _ = staged(large, "large", rows)
         # small star: u and its smaller neighbours go to the smallest of them
-        least, _ = staged(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
+        least, _ = staged(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least", rows)
         small = large.select(F.col("b").alias("u"), F.col("a").alias("w")).join(least, "u")
         small = small.select(F.col("m").alias("a"), F.explode(F.array("u", "w")).alias("b")).filter("a <> b").distinct()
-        edges, _ = staged(small, "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        edges, _ = staged(small, "small", rows)
+        # done when all are stars: no node has two centers, no center has one
+        n, leaves = edges.agg(F.count("*"), F.count_distinct("b")).first()
+        if n == leaves and not edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             break
-        mark = now
     stars = edges.select(F.col("b").alias("v"), F.col("a").alias("label"))
     return stars.unionAll(edges.select(F.col("a").alias("v"), F.col("a").alias("label")).distinct())
 
@@ -315,19 +315,20 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     body = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), text_of(docs).alias("text"))
     profile, _ = staged(arrow_map(body, _profile(shingle), "id long, n_shingles long, digest binary, bands array<long>, packed binary"), "profiles")
     nodes = profile.filter("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("v"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
-    nodes, _ = staged(nodes, "nodes")
+    total = profile.count()
+    nodes, _ = staged(nodes, "nodes", total)
 
     # candidate groups
     banded = nodes.select("v", F.explode("bands").alias("key"))
-    shared, _ = staged(banded.groupBy("key").agg(F.count("*").alias("size"), F.min("v").alias("center")).filter("size > 1"), "buckets")
-    met, _ = staged(banded.join(shared, "key"), "met")
+    shared, _ = staged(banded.groupBy("key").agg(F.count("*").alias("size"), F.min("v").alias("center")).filter("size > 1"), "buckets", total)
+    met, _ = staged(banded.join(shared, "key"), "met", 2 * total)
     small = met.filter(F.col("size") <= BUCKET).select("key", "v").join(nodes.select("v", "n", "packed"), "v")
     near = arrow_map(small.repartition("key").sortWithinPartitions("key", "v").select("key", "v", "n", "packed"), _bucket_edges(threshold), "a long, b long")
     star = met.filter(F.col("size") > BUCKET).select(F.col("center").alias("a"), F.col("v").alias("b"))
-    groups, _ = staged(components(near.unionAll(star)), "groups")
+    groups, _ = staged(components(near.unionAll(star), 2 * total), "groups", total)
 
     # blocks of a group, and the sets of its nodes
-    sizes, _ = staged(groups.groupBy(F.col("label").alias("g")).agg(F.count("*").alias("size")), "sizes")
+    sizes, _ = staged(groups.groupBy(F.col("label").alias("g")).agg(F.count("*").alias("size")), "sizes", total)
     placed = groups.withColumnRenamed("label", "g").join(sizes, "g")
     placed = placed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.xxhash64("g", F.pmod(F.xxhash64("v"), F.col("blocks"))))
     wanted = placed.join(nodes.select("v", "digest"), "v")
@@ -349,10 +350,11 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     # links inside blocks, then of what is left with all blocks of its group
     by_block = members.select("block", "v", "shingles").repartition("block").sortWithinPartitions("block")
     edges, _ = staged(arrow_map(by_block, _block_edges(percent), "a long, b long"), "links")
+    held = members.count()
+    label, _ = staged(components(edges, held), "components", held)
     large = members.filter("blocks > 1")
     if large.limit(1).count():
-        edges = _rounds(large, edges, percent)
-    label, _ = staged(components(edges), "components")
+        label = _rounds(large, edges, label, percent, held)
     leader = profile.join(nodes.select("digest", "v"), "digest", "left").select("id", "n_shingles", F.coalesce("v", "id").alias("v"))
     # rows that share an id are one node, whichever of their sets was linked
     reached = leader.join(label, "v", "left").select("id", "n_shingles", F.coalesce("label", "v").alias("component"))
@@ -360,30 +362,31 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     return reached.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
 
 
-def _rounds(large: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """``edges`` and the links between blocks of one group."""
+def _rounds(large: DataFrame, edges: DataFrame, label: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Components of ``edges``, which have ``label`` so far, and of the links between blocks of one group."""
     tested = None
     queries = QUERIES
     while True:
-        label, _ = staged(components(edges), "labels")
         now = large.select("g", "blocks", "block", "v").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        now, _ = staged(now, "state")
+        now, _ = staged(now, "state", rows)
         sizes = now.groupBy("g", "label").agg(F.count("*").alias("size"))
         main = sizes.groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
         left = now.join(main, "g").filter("label <> main")
         if tested is not None:
             left = left.join(tested, "v", "left_anti")
         order = Window.partitionBy("g").orderBy(F.xxhash64("v"))
-        chosen, _ = staged(left.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= queries).select("g", "v"), "queries")
+        chosen, _ = staged(left.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= queries).select("g", "v"), "queries", rows)
         if not chosen.limit(1).count():
-            return edges
+            return label
         places = large.select("g", "block").distinct()
         sent = chosen.join(large.select("v", "shingles"), "v").join(now.select("v", "label"), "v").join(places, "g")
         sent = sent.select("block", F.lit(True).alias("query"), "v", "shingles", "label")
         home = large.join(now.select("v", "label"), "v").join(chosen.select("g").distinct(), "g", "left_semi").select("block", F.lit(False).alias("query"), "v", "shingles", "label")
         both = sent.unionAll(home).repartition("block").sortWithinPartitions("block", "query")
         found, _ = staged(arrow_map(both, _query_edges(percent), "a long, b long"), "round")
-        edges = edges.unionAll(found)
+        if found.limit(1).count():
+            edges = edges.unionAll(found)
+            label, _ = staged(components(edges, rows), "components", rows)
         tested = chosen.select("v") if tested is None else tested.unionAll(chosen.select("v"))
         queries *= 4
 
