@@ -34,7 +34,12 @@ def rstrip(text: Column) -> Column:
 def lines(text: Column) -> Column:
     """The text's lines; a line end at the very end opens no further line, an empty text has none."""
     parts = F.split(F.regexp_replace(text, "\r\n", "\n"), LINE_END)
-    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(parts, lambda p: F.when(F.get(p, F.size(p) - 1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+
+def rounded(value: Column, places: int) -> Column:
+    """Rounded half up, also where the binary value of a tie falls short of it."""
+    return F.round(value + F.lit(1e-9), places)
 
 
 def words(text: Column) -> Column:

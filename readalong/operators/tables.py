@@ -74,4 +74,4 @@ def speak_tables(text: Column) -> Column:
         return let(flags, of_flags)
 
     # most texts hold no table line at all; they only lose their last line end
-    return F.when(text.contains("|"), let(lines(text), of_lines)).otherwise(F.array_join(lines(text), "\n"))
+    return let(text, lambda t: F.when(t.contains("|"), let(lines(t), of_lines)).otherwise(F.array_join(lines(t), "\n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readalong.functions.text import tokens
+from readalong.functions.text import rounded, tokens
 
 
 def chunk_timing(chunks: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def word_timing(timing: DataFrame) -> DataFrame:
     upto = chunk.orderBy("word_pos").rowsBetween(Window.unboundedPreceding, 0)
     share = F.greatest(F.col("end") - F.col("start"), F.lit(0.0)) / F.sum("weight").over(chunk)
     until = F.sum("weight").over(upto)
-    spoken = exploded.withColumns({"word_start": F.round(F.col("start") + share * (until - F.col("weight")), 3), "word_end": F.round(F.least(F.col("end"), F.col("start") + share * until), 3)})
+    spoken = exploded.withColumns({"word_start": rounded(F.col("start") + share * (until - F.col("weight")), 3), "word_end": rounded(F.least(F.col("end"), F.col("start") + share * until), 3)})
     return spoken.select("doc_id", "chunk_index", "word_pos", "norm", "word_start", "word_end")
 
 

@@ -77,7 +77,7 @@ SEQUENCES = {"words": "a x b c a b d e f g h i j k l m a b q c n o p a b c", "ch
 
 TRANSCRIPT = _values("doc_id, seg, pos, word, t0, t1", "1, 0, 0, ' Hello', 0.0, 0.4004", "1, 0, 1, ' world!', 0.4004, 0.9", "1, 1, 0, ' -', 1.0, 1.1", "1, 1, 1, 'Again', NULL, 1.23456", "2, 0, 0, '...', 0.0, 0.1")
 
-FILES = _values("name, mime", "'My Paper (v2).pdf', 'application/pdf'", "'...', 'application/pdf'", "'a/b\\c:d.PDF', NULL", "'notes.txt', 'text/plain'", "'__x__.tar.gz', NULL")
+FILES = _values("name, mime", "'My Paper (v2).pdf', 'application/pdf'", "'...', 'application/pdf'", "'a/b c:d.PDF', NULL", "'notes.txt', 'text/plain'", "'__x__.tar.gz', NULL")
 
 JOBS = _values("job_id, run_id, status, pdf_path, error, final_mp3, final_wav", *(f"'{j}', {r}, '{s}', '{p}', {e}, {m}, {w}" for j, r, s, p, e, m, w in (
     ("j1", 1, "done", "a.pdf", "NULL", "'a.mp3'", "'a.wav'"), ("j2", 2, "done", "b.pdf", "NULL", "NULL", "'b.wav'"), ("j3", 2, "error", "c.pdf", "'Text is empty'", "NULL", "NULL"), ("j4", 2, "processing", "d.pdf", "NULL", "NULL", "NULL"),
