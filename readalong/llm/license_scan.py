@@ -23,6 +23,8 @@ from readalong.llm.common import text_of
 
 #: Words: runs of ASCII letters and digits and of all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words where A-Z are not in lower case yet.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base labels: every place where the phrase's words stand consecutively counts.
@@ -87,7 +89,7 @@ def scan(docs: DataFrame, rarest: int = 12, text: str = "text", id_column: str =
     lowered = F.lower("t")
     may_hold = reduce(lambda a, b: a | b, [lowered.contains(x) for x in GATES])
     words = F.regexp_extract_all(F.translate("t", UPPER, LOWER), F.lit(WORD), F.lit(0))
-    files = body.select("id", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), F.when(may_hold, words).alias("words"))
+    files = body.select("id", F.regexp_count("t", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(may_hold, words).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda h: h["w"].isin(vocabulary))
     files = files.withColumn("hits", F.when(F.col("words").isNotNull(), hits))
     # from here on only rows that hold a licence word have arrays to go through
@@ -156,7 +158,7 @@ def scan(docs: DataFrame, rarest: int = 12, text: str = "text", id_column: str =
 def _corpus_counts(body: DataFrame) -> tuple[int, dict[str, int]]:
     """Files, and in how many of them each looked-up word stands; at most one row for each such word comes back."""
     # lower() also maps a few characters beyond ASCII to letters; those change the byte length
-    sought = F.filter(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda w: F.lower(w).isin(_looked_up()) & (F.octet_length(w) == F.octet_length(F.lower(w))))
+    sought = F.filter(F.regexp_extract_all("t", F.lit(RAW_WORD), F.lit(0)), lambda w: F.lower(w).isin(_looked_up()) & (F.octet_length(w) == F.octet_length(F.lower(w))))
     held = F.array_distinct(F.transform(sought, F.lower))
     rows = body.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     counts = {r["w"]: r["n"] for r in rows}

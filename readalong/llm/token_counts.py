@@ -67,7 +67,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer_path)
+        seen: set[bytes] = set()  # a row that repeats stands in the same partition
         for batch in slices(batches):
+            digests = batch.column("digest").to_pylist()
+            new_here = [d not in seen and not seen.add(d) for d in digests]
+            batch = batch.filter(pa.array(new_here, pa.bool_()))
             counts = count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts)), batch.column("digest"), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
