@@ -1,0 +1,136 @@
+"""Cases worked out by hand from the semantics, not from a second engine."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from readalong.functions import text as tx
+from readalong.operators import alignment, chunking, cleaning, layout, playback, tables, timeline
+from readalong.plans import queries
+from readalong.sources import io
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Body.\n\n## References\n\n[1] x", "Body."),
+        ("A\n\n**References**\n\nB", "A\n\nReferences\n\nB"),
+        ("2*3*4", "234"),
+        ("a_b_c", "abc"),
+        ("![x](y) z", "z"),
+        ("a < b and c > d", "a d"),
+        ("- Item A\n- Item B", "Item A.\nItem B."),
+        ("a\n   \n\n\nb   c", "a\n\nb c"),
+        ("", ""),
+    ],
+)
+def test_cleaner(spark, text, expected):
+    assert value(spark, cleaning.clean(F.lit(text))) == expected
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("| Model | Cost |\n|---|---|\n| IT | high |", "Table:\nModel: IT; Cost: high.\n"),
+        ("| A | B | C |\n|---|:--:|---:|\n| x |  | z |", "A| x |"),
+        ("| a | b |\n| c | d |", "Table:\na, b.\nc, d.\n"),
+        ("| only |", "| only |"),
+        ("| H | I |\n|---|---|", "| H | I |\n|---|---|"),
+        ("x\n| p | q |\n| r |\ny", "x\nTable:\np, q.\nr.\n\ny"),
+        ("| Q | R |\n|---|---|\n| yes? | no! |\n|  |  |\n| last: | x; |", "Table:\nQ: yes?; R: no!\nQ: last:; R: x;\n"),
+    ],
+)
+def test_tables(spark, text, expected):
+    # ":--:" has two dashes and is no alignment mark, so that row is data and there is no header
+    if expected == "A| x |":
+        expected = "Table:\nA, B, C.\n---, :--:, ---:.\nx, z.\n"
+    assert value(spark, tables.speak_tables(F.lit(text))) == expected
+
+
+@pytest.mark.parametrize(("text", "most", "expected"), [("aaa. bb. cccc. d.", 9, ["aaa. bb.", "cccc. d."]), ("123. 4567.", 10, ["123.", "4567."]), ("12345678", 8, ["12345678."]), ("abcdefghijkl, mno.", 8, ["abcdefghijkl,", "mno."]), ("Intro;", 99, ["Intro;."]), ("Intro:", 99, ["Intro:"]), ("", 9, [])])
+def test_chunks(spark, text, most, expected):
+    assert value(spark, chunking.units(F.lit(text), most)) == expected
+
+
+def test_no_chunk_passes_the_limit_but_a_clause(spark):
+    rows = chunking.chunk_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).filter("length(text) > 600").collect()
+    assert all("," not in r["text"].rstrip(",")[:-1] or len(r["text"].split(", ")[0]) > 600 for r in rows)
+
+
+def test_tokens_and_names(spark):
+    assert value(spark, tx.tokens(F.lit("Don’t stop 2x"))) == ["don", "t", "stop", "2x"]
+    assert value(spark, tx.normal_token(F.lit("Don’t"))) == "don't"
+    assert value(spark, tx.safe_filename(F.lit("My Paper (v2).pdf"), F.lit("u"))) == "My_Paper_v2_.pdf"
+    assert value(spark, tx.safe_filename(F.lit("..."), F.lit("u"))) == "u"
+    assert [value(spark, tx.format_seconds(F.lit(s).cast("double"))) for s in (0.0, 65.9, 3600.0, None)] == ["0:00", "1:05", "60:00", "0:00"]
+    assert value(spark, tx.fingerprint(F.lit("JOURNAL  7"))) == "journal"
+    assert value(spark, io.chunk_key(F.lit("a"), F.lit(12345))) == "a_chunk_12345"
+
+
+def test_overlap(spark):
+    box = lambda *v: [F.lit(float(x)) for x in v]
+    assert value(spark, layout.overlap(box(0, 0, 10, 10), box(5, 0, 20, 10))) == 0.5
+    assert value(spark, layout.overlap(box(0, 0, 10, 10), box(10, 0, 20, 10))) == 0.0
+
+
+def test_timeline(spark):
+    chunks = spark.createDataFrame([(1, 0, "a", 1000), (1, 1, "b", 2001)], "doc_id long, chunk_index int, text string, duration_ms long")
+    assert [(r["start"], r["end"]) for r in timeline.chunk_timing(chunks).orderBy("chunk_index").collect()] == [(0.0, 1.0), (1.0, 3.001)]
+    timed = spark.createDataFrame([(1, 0, "a bcd ef", 0.0, 6.0)], "doc_id long, chunk_index int, text string, start double, end double")
+    assert [(r["word_start"], r["word_end"]) for r in timeline.word_timing(timed).orderBy("word_pos").collect()] == [(0.0, 1.0), (1.0, 4.0), (4.0, 6.0)]
+
+
+def scan(chunk, words, lookahead=6):
+    """The matcher, one start at a time."""
+    best = None
+    for start in range(len(words)):
+        limit, j, matched = min(len(words), start + max(3 * len(chunk), 24)), start, []
+        for token in chunk:
+            at = next((k for k in range(j, min(j + lookahead + 1, limit)) if words[k] == token), None)
+            if at is not None:
+                matched.append(at)
+                j = at + 1
+        if matched:
+            key = (-len(matched), matched[-1] - matched[0], start)
+            if best is None or key < best[0]:
+                best = (key, matched)
+    if best and len(best[1]) >= min(4, len(chunk)) and len(best[1]) / len(chunk) >= 0.33:
+        return best[1]
+    return None
+
+
+def test_matching(spark):
+    import random
+
+    random.seed(3)
+    words = [random.choice("abcdefgh") for _ in range(120)]
+    chunks = [[random.choice("abcdefghxyz") for _ in range(random.randint(1, 14))] for _ in range(40)]
+    texts = spark.createDataFrame([(1, k, c) for k, c in enumerate(chunks)], "doc_id long, chunk_index long, chunk array<string>")
+    found = alignment.match_chunks(texts, spark.createDataFrame([(1, words)], "doc_id long, words array<string>"))
+    assert {r["chunk_index"]: r["matched"] for r in found.collect()} == {k: m for k, c in enumerate(chunks) if (m := scan(c, words))}
+
+
+def test_alignment(spark):
+    one = spark.createDataFrame([(1, ["a", "q", "c"])], "doc_id long, tokens array<string>")
+    two = spark.createDataFrame([(1, ["a", "x", "c"])], "doc_id long, tokens array<string>")
+    assert [(r["spoken_idx"], r["printed_idx"]) for r in alignment.align_words(one, two).collect()] == [(0, 0), (2, 2)]
+
+
+def test_active_chunk(spark):
+    timing = spark.createDataFrame([(1, 0, 0.0), (1, 1, 2.0), (1, 2, 2.0), (1, 3, 5.0)], "doc_id long, chunk_index int, start double")
+    probes = spark.createDataFrame([(1, 0, -1.0), (1, 1, 2.0), (1, 2, 9.0)], "doc_id long, probe_id long, t double")
+    assert [r["active"] for r in playback.active_chunks(probes, timing).orderBy("probe_id").collect()] == [-1, 2, 3]
+
+
+def test_coverage_bounds(spark):
+    rows = queries.queries()["coverage"](spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    assert all(0 <= r["coverage"] <= 100 for r in rows)
+
+
+def test_wav(spark):
+    rows = queries.queries()["wav_duration"](spark, "").collect()
+    assert [r["seconds"] for r in sorted(rows, key=lambda r: r["path"])] == [1.0, 0.5, 0.0, 0.0, 0.0]
