@@ -54,6 +54,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of every document and of its edited text."""
+    from readalong.llm.fingerprints import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens from all documents."""
     from readalong.llm.packing import packed_documents
@@ -94,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_canonical_digest": op4_canonical_digest,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
