@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readalong.llm.common import arrow_map, exists, shared_dir, slices, text_of
+from readalong.llm.common import arrow_map, exists, shared_dir, slices, staged, text_of
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -76,4 +76,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts)), batch.column("digest"), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     arrow_map(new, encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache_path)
-    return keyed.select("id", "digest", "n_bytes").join(cached(), "digest", "left").select(F.col("id").alias(id_column), "n_bytes", "n_tokens")
+    # stored, so that Spark can split the rows of a digest that very many documents share
+    counts, _ = staged(cached(), "counts")
+    return keyed.select("id", "digest", "n_bytes").join(counts, "digest", "left").select(F.col("id").alias(id_column), "n_bytes", "n_tokens")
