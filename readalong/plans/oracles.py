@@ -113,6 +113,31 @@ _PRINTED = f"""{_TURNS}, said AS (SELECT doc_id, unnest(l) AS norm, chunk_index,
 printed AS (SELECT doc_id, norm, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos) - 1 AS INTEGER) AS word_idx FROM said)"""
 
 
+_MATCH = f"""WITH RECURSIVE w AS (SELECT string_split('{fixtures.SEQUENCES['words']}', ' ') AS ws),
+c AS (SELECT unnest(l) AS text, generate_subscripts(l, 1) - 1 AS chunk_index FROM (SELECT {list(fixtures.SEQUENCES['chunks'])} AS l)),
+st AS (SELECT chunk_index, string_split(text, ' ') AS ch, ws, s AS start, least(len(ws), s + greatest(3 * len(string_split(text, ' ')), 24)) AS lim FROM c, w, range(26) AS g(s)),
+r AS (SELECT chunk_index, start, ch, ws, lim, 1 AS t, start AS j, CAST([] AS BIGINT[]) AS m FROM st
+  UNION ALL SELECT chunk_index, start, ch, ws, lim, t + 1, CASE WHEN hit > 0 THEN j + hit ELSE j END, CASE WHEN hit > 0 THEN list_append(m, j + hit - 1) ELSE m END
+  FROM (SELECT *, coalesce(list_position(list_slice(ws, j + 1, least(j + 7, lim)), ch[t]), 0) AS hit FROM r WHERE t <= len(ch))),
+b AS (SELECT *, row_number() OVER (PARTITION BY chunk_index ORDER BY len(m) DESC, m[-1] - m[1], start) AS rn FROM r WHERE t = len(ch) + 1 AND len(m) > 0)
+SELECT CAST(1 AS BIGINT) AS doc_id, chunk_index, round(len(m) / len(ch), 6) AS score, CAST(m[-1] - m[1] + 1 AS INTEGER) AS span, array_to_string(m, ',') AS matched FROM b WHERE rn = 1 AND len(m) >= least(4, len(ch)) AND len(m) / len(ch) >= 0.33"""
+_TABLES = rf"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {_LINES} AS x FROM (SELECT doc_id, text AS t FROM ({fixtures.TABLES})))),
+m AS (SELECT *, regexp_matches(line, '^\s*\|.*\|\s*$') AS tab FROM l),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tab ORDER BY pos) AS island, {_strip(rf"regexp_replace({_strip('line')}, '^\|+|\|+$', '', 'g')")} AS body FROM m),
+c AS (SELECT *, list_transform(string_split(body, '|'), lambda x: {_strip('x')}) AS cells FROM i WHERE tab AND body <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY pos) - 1 AS k, len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-{{3,}}:?$'))) = 0 AS mark FROM c),
+t AS (SELECT doc_id, island, count(*) AS n, count(*) FILTER (NOT mark) AS n_data, min(k) FILTER (mark) AS first_mark, arg_min(cells, k) FILTER (NOT mark) AS top, min(k) FILTER (NOT mark) AS top_k FROM r GROUP BY ALL),
+g AS (SELECT *, coalesce(first_mark = 1 AND len(top) >= 2, false) AS headed FROM t WHERE n >= 2 AND n_data >= 2),
+d AS (SELECT r.doc_id, r.pos, list_filter(r.cells, lambda x: x <> '') AS own, CASE WHEN headed THEN top ELSE [] END AS top FROM r JOIN g USING (doc_id, island) WHERE NOT r.mark AND NOT (headed AND r.k = top_k)),
+p AS (SELECT *, list_filter(list_transform(range(1, least(len(top), len(own)) + 1), lambda j: CASE WHEN top[j] <> '' THEN top[j] || ': ' || own[j] END), lambda x: x IS NOT NULL) AS pairs FROM d WHERE len(own) > 0),
+s AS (SELECT doc_id, pos, CASE WHEN len(pairs) > 0 THEN array_to_string(pairs, '; ') ELSE array_to_string(own, ', ') END AS said FROM p),
+o AS (SELECT i.doc_id, i.pos, 1 AS sub, line FROM i LEFT JOIN g ON i.tab AND g.doc_id = i.doc_id AND g.island = i.island WHERE g.doc_id IS NULL
+  UNION ALL SELECT doc_id, pos, 1, CASE WHEN regexp_matches(said, '[.!?:;]$') THEN said ELSE said || '.' END FROM s
+  UNION ALL SELECT i.doc_id, min(i.pos), 0, 'Table:' FROM i JOIN g USING (doc_id, island) WHERE i.tab GROUP BY i.doc_id, island
+  UNION ALL SELECT i.doc_id, max(i.pos), 2, '' FROM i JOIN g USING (doc_id, island) WHERE i.tab GROUP BY i.doc_id, island)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos, sub) AS text FROM o GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """By query name."""
     return {
@@ -120,6 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_steps": _clean_steps(),
         "truncate_references": f"SELECT doc_id, {_CUT} AS text FROM (SELECT doc_id, text || chr(10) || '### Works  cited' || chr(10) || 'more' || chr(10) || 'Appendix' || chr(10) || 'rest' AS t FROM documents)",
         "strip_html_pages": f"SELECT page_id, t AS text FROM ({_chain('''SELECT page_id, coalesce(html, '') AS t FROM pages''', 'page_id', _MARKUP[8][1], _MARKUP[9][1], *_SPACES)})",
+        "markdown_tables": _TABLES,
         "list_items": f"SELECT doc_id, {_LISTS} AS text FROM (SELECT doc_id, text AS t FROM ({fixtures.LISTS}))",
         "chunk_text": f"{_DOC_CHUNKS} SELECT * FROM chunks",
         "heading_units": f"{_chunks(fixtures.HEADINGS)} SELECT * FROM chunks",
@@ -146,6 +172,7 @@ SELECT doc_id, chunk_index, CAST(word_pos AS INTEGER) AS word_pos, norm, round("
 s AS (SELECT *, CASE WHEN (bx0 + bx1) / 2 < width / 2 - greatest(20, width * 0.04) THEN 0 WHEN (bx0 + bx1) / 2 > width / 2 + greatest(20, width * 0.04) THEN 2 ELSE 1 END AS side FROM w),
 t AS (SELECT *, CASE WHEN bool_or(side = 0) OVER p AND bool_or(side = 2) OVER p THEN side ELSE 0 END AS band FROM s WINDOW p AS (PARTITION BY doc_id, page_index))
 SELECT doc_id, page_index, ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, band, by0, bx0, seen, line_no, word_no, ordinal) - 1 AS INTEGER) AS word_idx, norm, {', '.join(f'round(coalesce({c} / nullif({s}, 0), 0), 6) AS n{c}' for c, s in (('x0', 'width'), ('y0', 'height'), ('x1', 'width'), ('y1', 'height')))} FROM t WHERE norm <> ''""",
+        "match_chunk": _MATCH,
         "words_in_blocks": f"""WITH m AS (SELECT w.*, b.ordinal AS block_pos, row_number() OVER (PARTITION BY w.doc_id, w.page_index, w.ordinal ORDER BY b.ordinal) AS rn FROM ({fixtures.WORDS}) w JOIN ({fixtures.REGIONS}) b ON w.doc_id = b.doc_id AND w.page_index = b.page_index AND {_OVERLAP.format(a='w', b='b', least='1.0')} >= 0.5)
 SELECT doc_id, page_index, ordinal, block_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, block_pos, block_no, line_no, word_no, y0, x0, ordinal) - 1 AS INTEGER) AS word_idx FROM m WHERE rn = 1""",
         "transcript_words": f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg, pos) - 1 AS INTEGER) AS word_idx, text, norm, round(coalesce(CAST(t0 AS DOUBLE), 0), 3) AS "start", round(coalesce(CAST(t1 AS DOUBLE), 0), 3) AS "end" FROM (SELECT *, trim(word) AS text, regexp_replace(lower(trim(word)), '[^a-z0-9'']+', '', 'g') AS norm FROM ({fixtures.TRANSCRIPT})) WHERE norm <> ''""",
