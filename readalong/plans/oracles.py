@@ -113,6 +113,17 @@ _PRINTED = f"""{_TURNS}, said AS (SELECT doc_id, unnest(l) AS norm, chunk_index,
 printed AS (SELECT doc_id, norm, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos) - 1 AS INTEGER) AS word_idx FROM said)"""
 
 
+_ALIGN = f"""WITH RECURSIVE {_PRINTED},
+a AS (SELECT doc_id, list(norm ORDER BY word_idx) AS one FROM printed GROUP BY 1),
+ab AS (SELECT doc_id, one, list_filter(one, lambda x, k: (k - 1) % 7 <> 3) AS two FROM a),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(-1 AS BIGINT) AS hit_i, CAST(-1 AS BIGINT) AS hit_j FROM ab
+  UNION ALL SELECT doc_id,
+    CASE WHEN same THEN i + 1 WHEN p > 0 THEN i WHEN q > 0 THEN i + q ELSE i + 1 END, CASE WHEN same THEN j + 1 WHEN p > 0 THEN j + p WHEN q > 0 THEN j ELSE j + 1 END,
+    CASE WHEN same THEN i ELSE -1 END, CASE WHEN same THEN j ELSE -1 END
+  FROM (SELECT r.doc_id, i, j, one[i + 1] = two[j + 1] AS same, coalesce(list_position(list_slice(two, j + 2, j + 9), one[i + 1]), 0) AS p, coalesce(list_position(list_slice(one, i + 2, i + 9), two[j + 1]), 0) AS q
+    FROM r JOIN ab ON ab.doc_id = r.doc_id WHERE i < len(one) AND j < len(two))),
+n AS (SELECT doc_id, count(*) AS n_aligned, CAST(sum(hit_i) AS BIGINT) AS spoken_sum, CAST(sum(hit_j) AS BIGINT) AS printed_sum FROM r WHERE hit_i >= 0 GROUP BY 1)
+SELECT doc_id, len(one) AS n_words, n_aligned, spoken_sum, printed_sum, round(n_aligned * 100.0 / len(one), 2) AS coverage FROM ab JOIN n USING (doc_id)"""
 _MATCH = f"""WITH RECURSIVE w AS (SELECT string_split('{fixtures.SEQUENCES['words']}', ' ') AS ws),
 c AS (SELECT unnest(l) AS text, generate_subscripts(l, 1) - 1 AS chunk_index FROM (SELECT {list(fixtures.SEQUENCES['chunks'])} AS l)),
 st AS (SELECT chunk_index, string_split(text, ' ') AS ch, ws, s AS start, least(len(ws), s + greatest(3 * len(string_split(text, ' ')), 24)) AS lim FROM c, w, range(26) AS g(s)),
@@ -173,6 +184,7 @@ s AS (SELECT *, CASE WHEN (bx0 + bx1) / 2 < width / 2 - greatest(20, width * 0.0
 t AS (SELECT *, CASE WHEN bool_or(side = 0) OVER p AND bool_or(side = 2) OVER p THEN side ELSE 0 END AS band FROM s WINDOW p AS (PARTITION BY doc_id, page_index))
 SELECT doc_id, page_index, ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, band, by0, bx0, seen, line_no, word_no, ordinal) - 1 AS INTEGER) AS word_idx, norm, {', '.join(f'round(coalesce({c} / nullif({s}, 0), 0), 6) AS n{c}' for c, s in (('x0', 'width'), ('y0', 'height'), ('x1', 'width'), ('y1', 'height')))} FROM t WHERE norm <> ''""",
         "match_chunk": _MATCH,
+        "word_alignment": _ALIGN,
         "words_in_blocks": f"""WITH m AS (SELECT w.*, b.ordinal AS block_pos, row_number() OVER (PARTITION BY w.doc_id, w.page_index, w.ordinal ORDER BY b.ordinal) AS rn FROM ({fixtures.WORDS}) w JOIN ({fixtures.REGIONS}) b ON w.doc_id = b.doc_id AND w.page_index = b.page_index AND {_OVERLAP.format(a='w', b='b', least='1.0')} >= 0.5)
 SELECT doc_id, page_index, ordinal, block_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, block_pos, block_no, line_no, word_no, y0, x0, ordinal) - 1 AS INTEGER) AS word_idx FROM m WHERE rn = 1""",
         "transcript_words": f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg, pos) - 1 AS INTEGER) AS word_idx, text, norm, round(coalesce(CAST(t0 AS DOUBLE), 0), 3) AS "start", round(coalesce(CAST(t1 AS DOUBLE), 0), 3) AS "end" FROM (SELECT *, trim(word) AS text, regexp_replace(lower(trim(word)), '[^a-z0-9'']+', '', 'g') AS norm FROM ({fixtures.TRANSCRIPT})) WHERE norm <> ''""",
