@@ -1,11 +1,12 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
-Each licence template is a run of words.  A posting says at which places of which templates a word
-stands.  For every file, its licence words with the highest inverse document frequency (counted over the
-whole corpus) are looked up; every place of such a word and every posting give an origin at which the
-template would have to start.  At each origin the template's mandatory key phrases are verified word by
-word; verified templates give their label, and the file's score is the highest share of a verified
-template's rarity that stands at its relative position.
+Each licence template is a run of words.  Its posting key is the word with the highest inverse document
+frequency (counted over the whole corpus) in its first mandatory key phrase, with the word's place in the
+template.  Every place of a posting key in a file gives an origin at which the template would have to
+start; as the phrase holds its key, no place of the phrase is passed over, however many licences a file
+has.  At each origin the template's mandatory key phrases are verified word by word; verified templates
+give their label, and the file's score is the highest share of a verified template's rarity that stands
+at its relative position.
 
 All of a file's work is in its own row: no file is joined with another, and nothing but the word counts
 of the fixed template vocabulary (bounded by the templates) leaves the executors.
@@ -51,7 +52,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
-#: Words too common in any language's prose to be looked up; they are verified where a template asks for them.
+#: Words too common in any language's prose to be keys or to count; they are verified where a template asks for them.
 COMMON = frozenset("a an and any are by for free in into is of or person purpose source subject terms the this to under use with without work 0 1 2 3 4".split())  # noqa: SIM905
 
 
@@ -72,14 +73,17 @@ def _looked_up() -> list[str]:
     return sorted({w for _, template, _ in TEMPLATES for w in template.split()} - COMMON)
 
 
-def scan(docs: DataFrame, rarest: int = 12, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def _place(parts: list[str], phrase: list[str]) -> int:
+    """Where a template's key phrase starts in it."""
+    return next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
+
+
+def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Licence findings of every row of ``docs``.
 
     Returns id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``places``
-    (label, first word, matched share of each verified template).  ``rarest`` is how many distinct
-    licence words of a file, of highest IDF, are looked up (ties: all words of that IDF).  A null text is
-    an empty one: no words, no labels, score 0.  Rows may repeat; ids play no part.  Extra columns are
-    ignored.
+    (label, first word, matched share of each verified template).  A null text is an empty one: no words,
+    no labels, score 0.  Rows may repeat; ids play no part.  Extra columns are ignored.
     """
     body = docs.select(docs[id_column].alias("id"), text_of(docs, text).alias("t"))
     n_files, frequency = _corpus_counts(body)
@@ -106,18 +110,15 @@ def scan(docs: DataFrame, rarest: int = 12, text: str = "text", id_column: str =
     places = F.concat(*[F.col(f"base_{k}") for k in range(len(BASE_PHRASES))])
     base_labels = F.filter(F.array(*[F.when(F.size(f"base_{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE_PHRASES)]), lambda x: x.isNotNull())
 
-    rarities = F.create_map(*[x for w, v in idf.items() for x in (F.lit(w), F.lit(v))])
-    own = F.array_distinct(F.transform(F.filter("hits", lambda h: h["w"].isin(list(idf))), lambda h: rarities[h["w"]]))
-    least = F.coalesce(F.get(F.sort_array(own, asc=False), F.lit(rarest - 1)), F.lit(0.0))
     postings: dict[str, list[Column]] = {}
-    for k, (_, template, _) in enumerate(TEMPLATES):
-        for i, w in enumerate(template.split()):
-            if w in idf:
-                postings.setdefault(w, []).append(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")))
+    for k, (_, template, phrases) in enumerate(TEMPLATES):
+        sub = phrases[0].split()
+        key = max(sub, key=lambda w: idf.get(w, 0.0))
+        postings.setdefault(key, []).append(F.struct(F.lit(k).alias("k"), F.lit(_place(template.split(), sub) + sub.index(key)).alias("i")))
     index = F.create_map(*[x for w, v in postings.items() for x in (F.lit(w), F.array(*v))])
-    sought = F.filter("hits", lambda h: h["w"].isin(list(idf)) & (rarities[h["w"]] >= F.col("least")))
-    origins = F.array_distinct(F.flatten(F.transform(sought, lambda h: F.transform(index[h["w"]], lambda q: F.struct(q["k"].alias("k"), (h["p"] - q["i"]).alias("at"))))))
-    files = files.withColumn("least", least).withColumn("origins", origins)
+    sought = F.filter("hits", lambda h: h["w"].isin(list(postings)))
+    origins = F.flatten(F.transform(sought, lambda h: F.transform(index[h["w"]], lambda q: F.struct(q["k"].alias("k"), (h["p"] - q["i"]).alias("at")))))
+    files = files.withColumn("origins", origins)
 
     def verified(k: int, label: str, template: str, phrases: tuple[str, ...]) -> Column:
         parts = template.split()
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, rarest: int = 12, text: str = "text", id_column: str =
             checks = []
             for phrase in phrases:
                 sub = phrase.split()
-                i = next(i for i in range(len(parts)) if parts[i : i + len(sub)] == sub)
+                i = _place(parts, sub)
                 checks.append(F.when(at + i >= 0, F.slice("words", F.greatest(at + i, F.lit(0)) + 1, len(sub)) == _strings(sub)).otherwise(False))
             return reduce(lambda a, b: a & b, checks)
 

@@ -312,6 +312,28 @@ def test_license_scan(spark, docs, rows):
     assert "mit" in found[1000]["labels"] and "gpl-3.0" in found[1001]["labels"] and "apache-2.0" in found[1006]["labels"]
 
 
+def test_license_scan_finds_every_template_of_a_file(spark):
+    templates = [template for _, template, _ in license_scan.TEMPLATES]
+    own = sorted({w for t in templates for w in t.split()} - license_scan.COMMON)
+    joined = [". ".join(templates), " ... ".join(reversed(templates)) * 2, " ".join(phrases[0] for _, _, phrases in license_scan.TEMPLATES)]
+    for order in (own, own[::-1]):  # each word in as many files as its place says, so that all have IDFs of their own
+        texts = joined + [" ".join(order[k:]) for k in range(len(order))]
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for r in license_scan.scan(table).collect():
+            words = re.findall(license_scan.WORD, texts[r["doc_id"]])
+            stands = lambda p, at, words=words: at >= 0 and words[at : at + len(p)] == p
+            expected = set()
+            for label, template, phrases in license_scan.TEMPLATES:
+                parts, phrase = template.split(), phrases[0].split()
+                i = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
+                expected |= {(label, at - i) for at in range(len(words)) if stands(phrase, at)}
+            labels = {label for phrase, label in license_scan.BASE_PHRASES if any(stands(phrase.split(), at) for at in range(len(words)))}
+            assert {(p["label"], p["first_word"]) for p in r["places"]} == expected
+            assert r["labels"] == ",".join(sorted(labels | {label for label, _ in expected}))
+            if r["doc_id"] < 2:
+                assert r["score"] == 1 and {label for label, _ in expected} == {label for label, _, _ in license_scan.TEMPLATES}
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.filter("doc_id % 5 <> 0"))
