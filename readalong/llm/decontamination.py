@@ -3,7 +3,8 @@
 A benchmark item may stand in a document with up to ``budget`` character edits.  Cut into budget + 1
 pieces, at least one piece of it then stands there unchanged.  All pieces of a block of items go into one
 Aho-Corasick automaton that reads each document once; around every hit, Myers' bit-parallel algorithm
-finds the least edit distance between the whole item and any part of the neighbourhood.
+finds the least edit distance between the whole item and any part of the neighbourhood.  Short items have
+no edits and must stand as whole words.
 
 Items are sent to the executors in blocks of a fixed size, so that a benchmark of any size takes more
 passes and not more memory.  Documents never move.
@@ -12,6 +13,7 @@ passes and not more memory.  Documents never move.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +24,10 @@ from readalong.llm.common import arrow_map, slices, text_of
 
 #: Characters of an item for each edit that it may have.
 CHARS_PER_EDIT = 16
-#: Items with fewer characters, after folding, are no evidence and are left out.
+#: Items with fewer characters, after folding, count only unchanged and between word boundaries.
 LEAST_CHARS = 24
+#: Characters of scripts that write words without spaces or join particles to them (Thai to Myanmar, Khmer, Han, kana, Hangul): every place is a boundary.
+UNSPACED = re.compile("[\u0e00-\u109f\u1100-\u11ff\u1780-\u17ff\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\uff66-\uffdc\U00020000-\U0003ffff]")
 #: UTF-8 bytes of items in one block.
 BLOCK_BYTES = 4 << 20
 
@@ -44,6 +48,20 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def joined(one: str, two: str) -> bool:
+    """Whether no word boundary is between two neighbours; either may be empty, at an end of the text."""
+    return all(c.isalnum() and not UNSPACED.match(c) for c in (one, two))
+
+
+def found(item: str, text: str) -> int:
+    """Where ``item`` first stands in ``text``, a short item between word boundaries, or -1."""
+    at = text.find(item)
+    if len(item) < LEAST_CHARS:
+        while at >= 0 and (joined(text[at - 1 : at], item[0]) or joined(item[-1], text[at + len(item) : at + len(item) + 1])):
+            at = text.find(item, at + 1)
+    return at
+
+
 def distance(item: str, text: str) -> tuple[int, int]:
     """(least edit distance between ``item`` and any part of ``text``, the end of the first such part)."""
     m = len(item)
@@ -78,12 +96,12 @@ class Matcher:
 
         self.items = items
         self.edits = [budget(text) for _, text in items]
-        found: dict[str, list[tuple[int, int]]] = {}
+        ends: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
             for start, piece in pieces(text, self.edits[k]):
-                found.setdefault(piece, []).append((k, start + len(piece)))
+                ends.setdefault(piece, []).append((k, start + len(piece)))
         self.automaton = ahocorasick.Automaton()
-        for piece, uses in found.items():
+        for piece, uses in ends.items():
             self.automaton.add_word(piece, uses)
         self.automaton.make_automaton()
 
@@ -101,9 +119,10 @@ class Matcher:
                     spans.append([lo, hi])
         for k in sorted(around):
             item, best = self.items[k][1], None
-            at = text.find(item)
+            at = found(item, text)
             if at >= 0:
                 yield k, 0, at + len(item)
+            if at >= 0 or len(item) < LEAST_CHARS:
                 continue
             for lo, hi in around[k]:
                 d, end = distance(item, text[lo:hi])
@@ -114,22 +133,22 @@ class Matcher:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """Folded items long enough to count, block by block; each block is about BLOCK_BYTES."""
+    """Folded items that are not empty, block by block; each block is about BLOCK_BYTES."""
     items = items.select("item_id", text_of(items).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(total / BLOCK_BYTES)
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
         block = sorted(((r["item_id"], folded(r["text"])) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        if block := [x for x in block if len(x[1]) >= LEAST_CHARS]:
+        if block := [x for x in block if x[1]]:
             yield block
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, budget, item_chars, end_char): every benchmark item that stands in a document.
 
-    ``end_char`` is where its best match ends in the folded text.  Null and empty texts match nothing;
-    a document row that repeats gives its rows again; an item that repeats gives one row.  Extra columns
+    ``end_char`` is where its best match ends in the folded text.  An item of fewer than LEAST_CHARS
+    characters stands where it is unchanged between word boundaries.  Null and empty texts match nothing; a document row that repeats gives its rows again; an item that repeats gives one row.  Extra columns
     are ignored; an empty table gives no rows.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()

@@ -288,6 +288,16 @@ def test_decontamination(spark):
     assert {r[0] for r in collected(decontamination.clean(table, bench), "doc_id")} == left
 
 
+def test_decontamination_by_short_items(spark):
+    items = [(0, "Who  wrote Emma?"), (1, "x = 2"), (2, "首都は"), (3, "Yes"), (4, "\n"), (5, None), (6, "23 characters long text"), (7, "été")]
+    texts = ["so: who wrote\nEMMA? Austen", "who wrote emma", "max = 25, x = 2", "max = 25", "日本の首都は東京", "yesterday, YES", "yesterday eyes", "", None, "a 23 characters long text.", "a 23 characters long texts", "L'ÉTÉ", "étés"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = {(0, 0, 0, 0, 19), (2, 1, 0, 0, 15), (4, 2, 0, 0, 6), (5, 3, 0, 0, 14), (9, 6, 0, 0, 25), (11, 7, 0, 0, 5)}
+    assert set(collected(decontamination.matches(table, bench), "doc_id", "item_id", "edits", "budget", "end_char")) == expected
+    assert {r[0] for r in collected(decontamination.clean(table, bench), "doc_id")} == set(range(len(texts))) - {r[0] for r in expected}
+
+
 def test_license_scan(spark, docs, rows):
     notes = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "cc-by CC BY, all  rights\nreserved", "cc bye all rights", "General public licenses", "CCé by cc by", "Licensed under the Apache License, Version 2.0. cc by", "mit license"]
     more = [(1000 + k, n) for k, n in enumerate(notes)] + [(2000 + k, f"{t or ''} {n}") for k, ((_, t), n) in enumerate(zip(rows, notes * 3, strict=False))]
