@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Words that a token may skip, window of 3 m but at least 24 words, least score and matched tokens.
 LOOKAHEAD, SPREAD, LEAST_WINDOW, LEAST_SCORE, LEAST_TOKENS = 6, 3, 24, 0.33, 4
+#: UTF-8 bytes of passages that one pass over the documents takes.
+BLOCK_BYTES = 4 << 20
+MATCHES = "doc_id long, chunk_index long, score double, span int, matched array<int>, n_matched int, n_tokens int"
 
 
 def _best(chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int) -> tuple[int, int, list[int]] | None:
@@ -46,6 +50,29 @@ def _best(chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: in
     return s, int(span[s]), matched
 
 
+def _places(said: list[str]) -> dict[str, np.ndarray]:
+    """Where each word stands."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(said):
+        places.setdefault(w, []).append(i)
+    return {w: np.array(p) for w, p in places.items()}
+
+
+def _row(doc: int, index: int, chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int) -> list[tuple]:
+    """The row of a chunk that matches, or none."""
+    m = len(chunk)
+    found = _best(chunk, places, n, lookahead) if m and n else None
+    if found and len(found[2]) >= min(LEAST_TOKENS, m) and len(found[2]) / m >= LEAST_SCORE:
+        return [(doc, index, len(found[2]) / m, found[1], found[2], len(found[2]), m)]
+    return []
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32())
+    names = ["doc_id", "chunk_index", "score", "span", "matched", "n_matched", "n_tokens"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
 def match_chunks(chunks: DataFrame, words: DataFrame, lookahead: int = LOOKAHEAD) -> DataFrame:
     """(doc_id, chunk_index, score, span, matched, n_matched, n_tokens): the best match of each chunk's tokens.
 
@@ -58,22 +85,49 @@ def match_chunks(chunks: DataFrame, words: DataFrame, lookahead: int = LOOKAHEAD
         for batch in batches:
             rows: list[tuple] = []
             for doc, parts, said in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "chunks", "words")), strict=True):
-                places: dict[str, list[int]] = {}
-                for i, w in enumerate(said):
-                    places.setdefault(w, []).append(i)
-                arrays = {w: np.array(p) for w, p in places.items()}
+                places = _places(said)
                 for part in parts:
-                    m = len(part["chunk"])
-                    found = _best(part["chunk"], arrays, len(said), lookahead) if m and said else None
-                    if found and len(found[2]) >= min(LEAST_TOKENS, m) and len(found[2]) / m >= LEAST_SCORE:
-                        rows.append((doc, part["chunk_index"], len(found[2]) / m, found[1], found[2], len(found[2]), m))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32())
-            names = ["doc_id", "chunk_index", "score", "span", "matched", "n_matched", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+                    rows += _row(doc, part["chunk_index"], part["chunk"], places, len(said), lookahead)
+            yield _batch(rows)
 
     parts = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")).alias("chunks"))
-    schema = "doc_id long, chunk_index long, score double, span int, matched array<int>, n_matched int, n_tokens int"
-    return parts.join(words.select("doc_id", "words"), "doc_id").mapInArrow(run, schema)
+    return parts.join(words.select("doc_id", "words"), "doc_id").mapInArrow(run, MATCHES)
+
+
+def match_passages(passages: DataFrame, words: DataFrame, lookahead: int = LOOKAHEAD) -> DataFrame:
+    """As ``match_chunks``, of every passage (chunk_index, chunk) with every document (doc_id, words).
+
+    No document moves: passages go to the workers in blocks of a fixed size.  Only a passage with too few
+    of its tokens anywhere in a document to reach the least match is not scanned there.
+    """
+    passages = passages.select(F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
+    total = passages.agg(F.sum(F.octet_length(F.array_join("chunk", " ")))).first()[0] or 0
+    n = math.ceil(total / BLOCK_BYTES)
+    out = words.sparkSession.createDataFrame([], MATCHES)
+    for k in range(n):
+        block = [(r["chunk_index"], r["chunk"]) for r in passages.filter(F.pmod(F.xxhash64("chunk_index", "chunk"), F.lit(n)) == k).collect() if r["chunk"]]
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            uses: dict[str, list[int]] = {}
+            for p, (_, chunk) in enumerate(block):
+                for token in chunk:
+                    uses.setdefault(token, []).append(p)
+            index = {token: np.array(ps) for token, ps in uses.items()}
+            sizes = np.array([len(chunk) for _, chunk in block], int)
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc, said in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                    places = _places(said or [])
+                    held = [index[w] for w in places if w in index]
+                    if not held:
+                        continue
+                    most = np.bincount(np.concatenate(held), minlength=len(block))
+                    for p in np.flatnonzero((most >= np.minimum(LEAST_TOKENS, sizes)) & (most / sizes >= LEAST_SCORE)):
+                        rows += _row(doc, *block[p], places, len(said), lookahead)
+                yield _batch(rows)
+
+        out = out.unionAll(words.select(F.col("doc_id").cast("long").alias("doc_id"), "words").mapInArrow(run, MATCHES))
+    return out
 
 
 def highlights(matches: DataFrame, words: DataFrame) -> DataFrame:

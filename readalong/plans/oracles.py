@@ -162,6 +162,9 @@ def oracle_sql() -> dict[str, str]:
         "heading_units": f"{_chunks(fixtures.HEADINGS)} SELECT * FROM chunks",
         "split_long": rf"""WITH RECURSIVE p AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS seq FROM (SELECT doc_id, {_split_after('text', ';,')} AS l FROM ({fixtures.CLAUSES}))),
 r AS (SELECT doc_id, seq, s, 0 AS unit, length(s) + 1 AS size FROM p WHERE seq = 1 UNION ALL SELECT p.doc_id, p.seq, p.s, CASE WHEN r.size + length(p.s) + 1 > 8 THEN r.unit + 1 ELSE r.unit END, CASE WHEN r.size + length(p.s) + 1 > 8 THEN length(p.s) + 1 ELSE r.size + length(p.s) + 1 END FROM r JOIN p ON p.doc_id = r.doc_id AND p.seq = r.seq + 1)
+SELECT doc_id, CAST(unit AS INTEGER) AS part_index, string_agg(s, ' ' ORDER BY seq) AS part FROM r GROUP BY doc_id, unit""",
+        "split_long_documents": rf"""WITH RECURSIVE p AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS seq FROM (SELECT doc_id, {_split_after("coalesce(text, '')", ';,')} AS l FROM documents)),
+r AS (SELECT doc_id, seq, s, 0 AS unit, length(s) + 1 AS size FROM p WHERE seq = 1 UNION ALL SELECT p.doc_id, p.seq, p.s, CASE WHEN r.size + length(p.s) + 1 > 600 THEN r.unit + 1 ELSE r.unit END, CASE WHEN r.size + length(p.s) + 1 > 600 THEN length(p.s) + 1 ELSE r.size + length(p.s) + 1 END FROM r JOIN p ON p.doc_id = r.doc_id AND p.seq = r.seq + 1)
 SELECT doc_id, CAST(unit AS INTEGER) AS part_index, string_agg(s, ' ' ORDER BY seq) AS part FROM r GROUP BY doc_id, unit""",
         "fingerprint": f"SELECT {_FP} AS fp, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS txt FROM documents) GROUP BY 1",
         "repeated_margins": f"SELECT *, 'documents' AS origin FROM ({_repeated(_DOC_LINES)}) UNION ALL SELECT *, 'inline' AS origin FROM ({_repeated(fixtures.LINES)})",

@@ -76,6 +76,12 @@ def split_long(spark, sf_dir):
     return spark.sql(fixtures.CLAUSES).select("doc_id", F.posexplode(chunking.clauses(F.col("text"), 8)).alias("part_index", "part"))
 
 
+def split_long_documents(spark, sf_dir):
+    """Clauses of every document, as one sentence, in parts of the longest chunk's size."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", F.posexplode(chunking.clauses(F.col("text"), chunking.CHUNK_SIZE + chunking.ALLOWANCE)).alias("part_index", "part"))
+
+
 def heading_units(spark, sf_dir):
     """Headings end like sentences."""
     return chunking.chunk_documents(spark.sql(fixtures.HEADINGS))
@@ -180,11 +186,20 @@ def _sequences(spark):
     return chunks.withColumn("chunk", F.split("text", " ")), words
 
 
+def _matched(found: DataFrame, index: str = "chunk_index") -> DataFrame:
+    return found.select("doc_id", F.col("chunk_index").alias(index), F.round("score", 6).alias("score"), "span", F.array_join(F.transform("matched", lambda x: x.cast("string")), ",").alias("matched"))
+
+
 def match_chunk(spark, sf_dir):
     """Best match of each inline chunk."""
-    chunks, words = _sequences(spark)
-    found = alignment.match_chunks(chunks, words)
-    return found.select("doc_id", "chunk_index", F.round("score", 6).alias("score"), "span", F.array_join(F.transform("matched", lambda x: x.cast("string")), ",").alias("matched"))
+    return _matched(alignment.match_chunks(*_sequences(spark)))
+
+
+def match_passages(spark, sf_dir):
+    """Best match of every benchmark passage in every document's words."""
+    own = lambda table, *columns: table.select(*columns, tx.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    passages = own(_benchmark(spark, sf_dir), F.col("item_id").alias("chunk_index")).withColumnRenamed("tokens", "chunk")
+    return _matched(alignment.match_passages(passages, own(_documents(spark, sf_dir), "doc_id").withColumnRenamed("tokens", "words")), "item_id")
 
 
 def _printed(spark, sf_dir):
@@ -362,9 +377,9 @@ def stream_pages(spark, sf_dir):
 
 
 ALL: tuple[Query, ...] = (
-    clean_text, clean_steps, truncate_references, strip_html_pages, markdown_tables, list_items, chunk_text, split_long, heading_units,
+    clean_text, clean_steps, truncate_references, strip_html_pages, markdown_tables, list_items, chunk_text, split_long, split_long_documents, heading_units,
     fingerprint, repeated_margins, block_filter, assemble_blocks, reading_order, bbox_overlap, layout_keep, layout_regions,
-    chunk_timing, total_length, word_timing, tokenize, word_order, match_chunk, chunk_highlights, coverage, highlight_payload, word_alignment, words_in_blocks, transcript_words,
+    chunk_timing, total_length, word_timing, tokenize, word_order, match_chunk, match_passages, chunk_highlights, coverage, highlight_payload, word_alignment, words_in_blocks, transcript_words,
     active_chunk, event_asof, chunk_nav, clamp_seek, format_time, polygon_percent, page_offset, progress_stage, chunk_state, safe_filename, scroll, wav_duration, merge_manifest, job_status, extract_summary, stream_pages,
 )
 

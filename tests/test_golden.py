@@ -111,6 +111,26 @@ def test_matching(spark):
     assert {r["chunk_index"]: r["matched"] for r in found.collect()} == {k: m for k, c in enumerate(chunks) if (m := scan(c, words))}
 
 
+def test_matching_of_passages_with_documents(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    own = lambda name, key: [(r[key], r["t"]) for r in spark.read.parquet(f"{data}/{name}.parquet").select(key, tx.tokens(F.coalesce("text", F.lit(""))).alias("t")).collect()]
+    each = lambda found, index: sorted((r["doc_id"], r[index], r["score"], r["span"], r["matched"]) for r in found.collect())
+
+    def pairs(docs):
+        texts = spark.createDataFrame([(d, i, t) for d, _ in docs for i, t in passages], "doc_id long, chunk_index long, chunk array<string>")
+        words = spark.createDataFrame(docs, "doc_id long, words array<string>")
+        return words, each(queries._matched(alignment.match_chunks(texts, words)), "chunk_index")
+
+    docs, passages = own("documents", "doc_id"), own("benchmark", "item_id")
+    assert each(queries.queries()["match_passages"](spark, data), "item_id") == pairs(docs)[1]
+    passages = [*passages[:8], (99, []), (100, ["that"]), (101, ["zzz"] * 4)]
+    made = [(k, d + [w for i, w in enumerate(passages[k][1]) if i % (k + 1) == 0] + d) for k, (_, d) in enumerate(docs[:8])] + [(50, [])]
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 500)
+    words, expected = pairs(made)
+    found = alignment.match_passages(spark.createDataFrame(passages, "chunk_index long, chunk array<string>"), words)
+    assert len(expected) >= 3 and each(queries._matched(found), "chunk_index") == expected
+
+
 def test_alignment(spark):
     one = spark.createDataFrame([(1, ["a", "q", "c"])], "doc_id long, tokens array<string>")
     two = spark.createDataFrame([(1, ["a", "x", "c"])], "doc_id long, tokens array<string>")
