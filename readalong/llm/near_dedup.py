@@ -1,39 +1,44 @@
 """Near-duplicate documents by b-bit MinHash, with exact links.
 
-Documents are sets of word shingles.  Equal sets are one node, found by a wide digest.  Each node gets
-``BANDS * ROWS`` minima; the nodes of a band bucket are candidates.  Of every minimum the low ``BITS`` bits
-are kept, packed; equal packed values, counted by bits and corrected for chance collisions, estimate the
-similarity of candidates, and pairs far below the threshold are dropped.  What remains falls into candidate
-groups, and inside these links are confirmed on the full sets.
+Documents are sets of word shingles.  A shingle is 122 bits: two Rabin-Karp lanes modulo 2**61 - 1 over
+128-bit BLAKE2 digests of its words, so that two given shingles agree by chance with 2**-116 at most, and
+any two of n with n * n * 2**-117.  Equal sets are one node, found by a 128-bit BLAKE2 digest.  Each node
+gets ``BANDS * ROWS`` minima; the nodes of a band bucket are candidates.  Of every minimum the low ``BITS``
+bits are kept, packed; equal packed values, counted by bits and corrected for chance collisions, estimate
+the similarity of candidates, and pairs far below the threshold are dropped.  What remains falls into
+candidate groups, and inside these links are confirmed on the full sets.
 
 A true link at the threshold shares no band with a chance of (1 - t**ROWS)**BANDS (2e-8 at 0.85), and is
 dropped by the estimate with less.
 
 No step holds an unbounded group or emits all its pairs.  Buckets of more than ``BUCKET`` nodes are not
 estimated: all their nodes join one candidate group.  Groups are handled in blocks of at most about
-``BLOCK`` nodes.  A block reports a spanning forest of its links.  Groups of several blocks then go on in
-rounds: nodes outside their group's largest component are compared with every block, until each of them
-has been (two nodes of one component need no comparison).
+``BLOCK`` nodes or ``BLOCK_BYTES``.  A block reports a spanning forest of its links.  Groups of several
+blocks then go on in rounds: nodes outside their group's largest component meet every block that holds one
+of the rarest shingles of which two linked sets must share one, until each of them has (two nodes of one
+component need no comparison).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readalong.llm.common import arrow_map, passes, slices, staged, text_of
-from readalong.llm.spans import NULL_ID, mixed, settle_bits, windows
-from readalong.llm.substring_dedup import word_hashes, words
+from readalong.llm.spans import NULL_ID, lanes, mixed, settle_bits
+from readalong.llm.substring_dedup import word_digests, words
 
 BANDS, ROWS, BITS = 24, 4, 4
 #: The estimate may fall so far below the threshold: six standard deviations of a 96-fold sample at 0.85.
 MARGIN = 0.22
 BUCKET = 2000
 BLOCK = 1500
+BLOCK_BYTES = 64 << 20
 #: Nodes of a group that one round compares with all its blocks, at first; each round takes four times more.
 QUERIES = 512
 
@@ -43,27 +48,56 @@ _MULTIPLY = mixed(9, BANDS * ROWS).astype(np.uint32) | np.uint32(1)
 _FLIP = (mixed(10, BANDS * ROWS) >> np.uint64(32)).astype(np.uint32)
 
 
-def shingle_sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
-    """The sorted hashes of each text's distinct shingles; a text with fewer words has one, one without words none."""
+#: Bytes of a shingle in a stored set.
+WIDTH = 16
+
+
+def _sorted(shingles: np.ndarray) -> np.ndarray:
+    """Distinct rows, in order."""
+    own = shingles[np.lexsort((shingles[:, 1], shingles[:, 0]))]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]).any(1)
+    return own[new]
+
+
+def _hashed(digests: np.ndarray, size: int) -> np.ndarray:
+    return lanes(digests, size)
+
+
+def shingle_sets(batch: pa.RecordBatch, size: int, hashed: Callable[[np.ndarray, int], np.ndarray]) -> list[np.ndarray]:
+    """Each text's distinct shingles in order, two numbers each; a text with fewer words has one, one without words none."""
     out = []
     for _, raw, off in passes(batch):
         raw = _LOWER[raw]
         starts, ends, first = words(raw, off)
-        word = word_hashes(raw, starts, ends)
-        full = settle_bits(windows(word, size))
+        word = word_digests(raw, starts, ends)
+        full = hashed(word, size)
         for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
             if b - a >= size:
-                out.append(np.unique(full[a : b - size + 1]))
-            elif b > a:
-                out.append(settle_bits(windows(word[a:b], b - a) + np.uint64(b - a)))
+                out.append(_sorted(full[a : b - size + 1]))
+            elif b > a:  # no hash of ``size`` words comes with its number of words
+                out.append(hashed(word[a:b], b - a) ^ np.array([0, min(b - a, 7) << 61], np.uint64))
             else:
-                out.append(np.zeros(0, np.uint64))
+                out.append(np.zeros((0, 2), np.uint64))
     return out
 
 
+def packed_set(shingles: np.ndarray) -> bytes:
+    """A set as it is stored."""
+    return shingles.astype("<u8").tobytes()
+
+
+def _unpacked(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, "<u8").reshape(-1, 2)
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(packed_set(shingles), digest_size=16).digest()
+
+
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, packed low bits) of sets that are not empty."""
-    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    flat = (settle_bits(np.concatenate(sets)[:, 0]) >> np.uint64(32)).astype(np.uint32)
     cuts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     least = np.stack([np.minimum.reduceat((flat ^ f) * m, cuts) for m, f in zip(_MULTIPLY, _FLIP, strict=True)], 1)
     bands = np.zeros((len(sets), BANDS), np.uint64)
@@ -109,15 +143,13 @@ class Forest:
 
 def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in slices(batches):
-            sets = shingle_sets(batch, size)
+            sets = shingle_sets(batch, size, _hashed)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands, packed = signatures([sets[i] for i in full]) if full else (None, None)
             columns: list[list] = [[None] * len(sets) for _ in range(3)]
             for k, i in enumerate(full):
-                columns[0][i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+                columns[0][i] = _digest(sets[i])
                 columns[1][i] = bands[k].astype("<i8").tolist()
                 columns[2][i] = packed[k].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.binary())], ["id", "n_shingles", "digest", "bands", "packed"])
@@ -198,42 +230,53 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
     return stars.unionAll(edges.select(F.col("a").alias("v"), F.col("a").alias("label")).distinct())
 
 
-def _links(sets: list[np.ndarray], percent: int):
-    """A function from a query set's hashes to the numbers of ``sets`` that it links to.
-
-    Each shingle has a list of the sets that hold it, so one count over the query's lists gives all
-    intersections.
-    """
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-
-    def linked(own: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-        n = hi - lo
+class Shingles:
+    """The shingles of a block's sets, numbered."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.lexsort((flat[:, 1], flat[:, 0]))
+        flat = flat[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]).any(1)
+        self.table = flat[new]
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.first = np.append(np.flatnonzero(new), len(flat))  # of each number's owners
+        numbers = np.empty(len(flat), np.int64)
+        numbers[order] = np.cumsum(new) - 1
+        self.of = np.split(numbers, np.cumsum(self.sizes)[:-1])
+
+    def numbers(self, own: np.ndarray) -> np.ndarray:
+        """Numbers of those of a set's shingles that the block has."""
+        lo, hi = np.searchsorted(self.table[:, 0], own[:, 0]), np.searchsorted(self.table[:, 0], own[:, 0], "right")
+        out, at, todo = [], lo, hi > lo
+        while todo.any():  # more than once only where two shingles share the first lane
+            k = np.flatnonzero(todo)
+            out.append(at[k][self.table[at[k], 1] == own[k, 1]])
+            at = at + 1
+            todo = at < hi
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def linked(self, numbers: np.ndarray, size: int, percent: int) -> np.ndarray:
+        """Sets that a set of ``size`` shingles links to; one count over the lists of their owners gives all intersections."""
+        lo, n = self.first[numbers], self.first[numbers + 1] - self.first[numbers]
         tail = np.cumsum(n)
         at = np.repeat(lo - tail + n, n) + np.arange(tail[-1] if len(tail) else 0)
-        both = np.bincount(owner[at], minlength=len(sets))
-        return np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + len(own) - both)))
-
-    return linked
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + size - both)))
 
 
 def _block_edges(percent: int):
     """Spanning forests of the links of whole blocks; rows are sorted by block."""
 
     def edges(rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(r[2], "<u8") for r in rows]
-        sizes, v = np.array([len(s) for s in sets]), [r[1] for r in rows]
-        linked = _links(sets, percent)
+        block, v = Shingles([_unpacked(r[2]) for r in rows]), [r[1] for r in rows]
         trees, out, done = Forest(len(rows)), [], np.zeros(len(rows), bool)
         # sets of many shared shingles first: they join most nodes, which then need no turn of their own
-        weight = np.zeros(len(rows))
-        _, number = np.unique(np.concatenate(sets), return_inverse=True)
-        np.add.at(weight, np.repeat(np.arange(len(rows)), sizes), np.log2(np.bincount(number)[number]))
-        for i in np.argsort(-weight / sizes, kind="stable").tolist():
+        shared = np.log2(np.diff(block.first))
+        weight = np.array([shared[own].mean() for own in block.of])
+        for i in np.argsort(-weight, kind="stable").tolist():
             roots = trees.flat()
             others = roots != roots[i]
             others[done] = False  # a set that had its turn has met all others
@@ -242,7 +285,7 @@ def _block_edges(percent: int):
                     break
                 done[i] = True
                 continue
-            for j in linked(sets[i]).tolist():
+            for j in block.linked(block.of[i], len(block.of[i]), percent).tolist():
                 a, b = trees.root(i), trees.root(j)
                 if a != b:
                     trees.up[max(a, b)] = min(a, b)
@@ -275,14 +318,12 @@ def _query_edges(percent: int):
         members = [r for r in rows if not r[1]]
         if not members:
             return []
-        sets = [np.frombuffer(r[3], "<u8") for r in members]
-        linked = _links(sets, percent)
-        out = []
+        block, out = Shingles([_unpacked(r[3]) for r in members]), []
         for _, is_query, v, shingles, label in rows:
             if not is_query:
                 continue
-            met = {label}
-            for j in linked(np.frombuffer(shingles, "<u8")).tolist():
+            met, own = {label}, _unpacked(shingles)
+            for j in block.linked(block.numbers(own), len(own), percent).tolist():
                 if members[j][4] not in met:
                     met.add(members[j][4])
                     out.append((min(v, members[j][2]), max(v, members[j][2])))
@@ -307,7 +348,8 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that it reaches by links.
 
     Linked are documents with 100 * intersection >= percent * union of their shingle sets.  A null or empty
-    text, or one without words, has an empty set and is linked with nothing.  Rows that share a doc_id are
+    text, or one without words, has an empty set and is linked with nothing; a very long text is one large
+    set, and a block of its own where need be.  Rows that share a doc_id are
     one node of the graph; rows with a null id share one too, whose component_id is null where it is the
     smallest.  Extra columns are ignored; an empty table gives no rows.
     """
@@ -328,19 +370,17 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     groups, _ = staged(components(near.unionAll(star), 2 * total), "groups", total)
 
     # blocks of a group, and the sets of its nodes
-    sizes, _ = staged(groups.groupBy(F.col("label").alias("g")).agg(F.count("*").alias("size")), "sizes", total)
-    placed = groups.withColumnRenamed("label", "g").join(sizes, "g")
-    placed = placed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.xxhash64("g", F.pmod(F.xxhash64("v"), F.col("blocks"))))
-    wanted = placed.join(nodes.select("v", "digest"), "v")
+    grouped = groups.withColumnRenamed("label", "g").join(nodes.select("v", "digest", "n"), "v")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * WIDTH / BLOCK_BYTES)).cast("int")
+    sizes, _ = staged(grouped.groupBy("g").agg(blocks.alias("blocks")), "sizes", total)
+    wanted = grouped.join(sizes, "g").withColumn("block", F.xxhash64("g", F.pmod(F.xxhash64("v"), F.col("blocks")))).select("g", "blocks", "block", "v", "digest")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in slices(batches):
-            found = shingle_sets(batch, shingle)
+            found = shingle_sets(batch, shingle, _hashed)
             # an id may stand on several rows: take those with the node's set
-            keep = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(found, batch.column("digest").to_pylist(), strict=True)]
-            rows = [s.astype("<u8").tobytes() for s, k in zip(found, keep, strict=True) if k]
+            keep = [_digest(s) == d for s, d in zip(found, batch.column("digest").to_pylist(), strict=True)]
+            rows = [packed_set(s) for s, k in zip(found, keep, strict=True) if k]
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("g", "blocks", "block", "v")], pa.array(rows, pa.binary())], ["g", "blocks", "block", "v", "shingles"])
 
@@ -362,24 +402,62 @@ def classes(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     return reached.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
 
 
+def _prefixes(percent: int):
+    """Rows (g, block, v, shingles, counts): the shingles of each set that are rarest in its group, one row each.
+
+    Two sets that share ``percent`` of their union share one of the n - ceil(n * percent / 100) + 1 rarest of
+    either, in any order that both follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for g, block, v, own, counts in zip(*(batch.column(c).to_pylist() for c in ("g", "block", "v", "shingles", "counts")), strict=True):
+                n = len(own)
+                first = sorted(zip(counts, own, strict=True))[: n - -(-n * percent // 100) + 1]
+                rows += [(g, block, v, s) for _, s in first]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["g", "block", "v", "s"])
+
+    return run
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, block, v, shingles) as one row for each shingle."""
+    for batch in batches:
+        stored = batch.column("shingles").to_pylist()
+        sizes = np.array([len(x) // WIDTH for x in stored], np.int64)
+        at = pa.array(np.repeat(np.arange(len(stored)), sizes))
+        each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), int(sizes.sum()), [None, pa.py_buffer(b"".join(stored))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("g", "block", "v")], each], ["g", "block", "v", "s"])
+
+
 def _rounds(large: DataFrame, edges: DataFrame, label: DataFrame, percent: int, rows: int) -> DataFrame:
     """Components of ``edges``, which have ``label`` so far, and of the links between blocks of one group."""
+    single = arrow_map(large.select("g", "block", "v", "shingles"), _single, "g long, block long, v long, s binary")
+    counts, _ = staged(single.groupBy("g", "s").agg(F.count("*").alias("count")).filter("count > 1"), "shingle-counts")
+    # a shingle of one set alone is as rare as can be; it links nothing, but takes its place in the prefix
+    each = single.join(counts, ["g", "s"], "left").groupBy("g", "block", "v").agg(F.collect_list("s").alias("shingles"), F.collect_list(F.coalesce("count", F.lit(1))).alias("counts"))
+    prefix, _ = staged(arrow_map(each, _prefixes(percent), "g long, block long, v long, s binary"), "prefixes")
+    holders, _ = staged(prefix.join(counts.select("g", "s"), ["g", "s"], "left_semi").select("g", "s", "block").distinct(), "holders")
+    meets, _ = staged(prefix.select("g", "s", "v").join(holders, ["g", "s"]).select("v", "block").distinct(), "meets")
     tested = None
-    queries = QUERIES
+    queries, turn = QUERIES, 0
     while True:
         now = large.select("g", "blocks", "block", "v").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
         now, _ = staged(now, "state", rows)
         sizes = now.groupBy("g", "label").agg(F.count("*").alias("size"))
         main = sizes.groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-        left = now.join(main, "g").filter("label <> main")
+        left = now.join(main, "g").filter("label <> main").select("g", "v")
         if tested is not None:
             left = left.join(tested, "v", "left_anti")
-        order = Window.partitionBy("g").orderBy(F.xxhash64("v"))
-        chosen, _ = staged(left.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= queries).select("g", "v"), "queries", rows)
-        if not chosen.limit(1).count():
+        left, _ = staged(left, "left", rows)
+        if not left.limit(1).count():
             return label
-        places = large.select("g", "block").distinct()
-        sent = chosen.join(large.select("v", "shingles"), "v").join(now.select("v", "label"), "v").join(places, "g")
+        # about ``queries`` nodes of each group, drawn by a hash, so that no group is put in order
+        share = left.groupBy("g").agg((F.lit(float(queries)) / F.count("*")).alias("share"))
+        draw = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2**31)) / F.lit(float(2**31))
+        chosen, _ = staged(left.join(share, "g").filter(draw < F.col("share")).select("g", "v"), "queries", rows)
+        sent = chosen.join(large.select("v", "shingles"), "v").join(now.select("v", "label"), "v").join(meets, "v")
         sent = sent.select("block", F.lit(True).alias("query"), "v", "shingles", "label")
         home = large.join(now.select("v", "label"), "v").join(chosen.select("g").distinct(), "g", "left_semi").select("block", F.lit(False).alias("query"), "v", "shingles", "label")
         both = sent.unionAll(home).repartition("block").sortWithinPartitions("block", "query")
@@ -388,7 +466,7 @@ def _rounds(large: DataFrame, edges: DataFrame, label: DataFrame, percent: int,
             edges = edges.unionAll(found)
             label, _ = staged(components(edges, rows), "components", rows)
         tested = chosen.select("v") if tested is None else tested.unionAll(chosen.select("v"))
-        queries *= 4
+        queries, turn = queries * 4, turn + 1
 
 
 def kept(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:

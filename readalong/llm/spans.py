@@ -6,8 +6,9 @@ one row for each bucket of documents, where they meet the documents' texts again
 
 Before anything is sent, each slice judges its own entries: of the entries of a key that the rule
 settles inside the slice only the earliest travels, so that a key held by a third of all documents costs
-one entry for each slice.  The number of buckets follows the size of the input, and a bucket of keys is
-all that a task holds.
+one entry for each slice.  The number of buckets follows the size of the input, and one bucket is all that
+a task holds at a time; beyond ``MOST_PARTITIONS`` buckets a partition has several, which Spark's own sort
+(it spills) brings up one after the other.
 
 A document is a row's (doc_id, hash of its text); null ids come first.  Rows that repeat both are one
 document, and each gets the verdicts.
@@ -15,8 +16,10 @@ document, and each gets the verdicts.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +31,45 @@ from readalong.llm.common import arrow_map, partitions, slices, text_of
 
 #: Stored bytes of input for each bucket.
 BUCKET_BYTES = 10 << 20
+#: Partitions of an exchange at most, so that the blocks of a shuffle stay few; beyond, each holds several buckets.
+MOST_PARTITIONS = 20_000
 NULL_ID = -(2**63)
-ROUTED = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("places", pa.binary()), ("keys", pa.binary())])
-ROUTED_SQL = "route int, kind int, docs binary, places binary, keys binary"
-ENTRY, VERDICT, DOCUMENT = 0, 1, 2
+ROUTED = pa.schema([("route", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("places", pa.binary()), ("keys", pa.binary())])
+ROUTED_SQL = "route int, sub int, kind int, docs binary, places binary, keys binary"
+ENTRY, VERDICT, DOCUMENT, FREQUENT = 0, 1, 2, 3
 
 #: One row for each document of a slice: id, text hash and bucket of documents.
 DOC = np.dtype([("id", "<i8"), ("tk", "<i8"), ("db", "<i4")])
 
 
-def buckets(docs: DataFrame) -> int:
-    """How many buckets: by the stored size that Spark knows of, and at least the session's shuffle partitions."""
+class Layout(NamedTuple):
+    """Buckets, the partitions that hold them, and the buckets in each partition."""
+
+    buckets: int
+    partitions: int
+    fan: int
+
+    def routes(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(partition by the high bits, bucket in it by the low bits) of each key."""
+        scaled = lambda half, n: (half * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        return scaled(key >> np.uint64(32), self.partitions), scaled(key & np.uint64(2**32 - 1), self.fan)
+
+
+def layout(docs: DataFrame) -> Layout:
+    """By the stored size that Spark knows of, and at least the session's shuffle partitions."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(partitions(docs), math.ceil(size / BUCKET_BYTES) if size < 2**52 else 0)
+    n = max(partitions(docs), math.ceil(size / BUCKET_BYTES) if size < 2**52 else 0)
+    p = min(n, MOST_PARTITIONS)
+    return Layout(n, p, math.ceil(n / p))
 
 
-def keyed(docs: DataFrame, n: int, rest: bool = False) -> DataFrame:
+def keyed(docs: DataFrame, where: Layout, rest: bool = False) -> DataFrame:
     """(id, tk, db, text[, rest]) of every row; ``rest`` is a struct of all columns but text, and of whether the text is null."""
     text = text_of(docs)
     columns = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text")]
     if rest:
         columns.append(F.struct(*[docs[c] for c in docs.columns if c != "text"], docs["text"].isNull().alias("text is null")).alias("rest"))
-    return docs.select(*columns).withColumn("db", F.pmod(F.xxhash64("id", "tk"), F.lit(n)).cast("int"))
+    return docs.select(*columns).withColumn("db", F.pmod(F.xxhash64("id", "tk"), F.lit(where.buckets)).cast("int"))
 
 
 def zip_arrays(*arrays: np.ndarray) -> bytes:
@@ -82,7 +102,7 @@ def ranks(docs: np.ndarray) -> np.ndarray:
 def judge(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(entries with a verdict, entries that still have to be judged against others).
 
-    ``later``: an entry gets a verdict if its key has an earlier entry (document, then place); the first travels on.
+    ``twice``: an entry gets a verdict if its key has another entry; then the first travels on, else all.
     ``shared``: an entry gets a verdict if its key stands in two documents; then the first travels on, else all.
     """
     if not len(key):
@@ -96,17 +116,14 @@ def judge(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray,
     c = code[order]
     first = np.repeat(np.minimum.reduceat(c, starts), sizes)
     verdict, travel = np.empty(len(k), bool), np.empty(len(k), bool)
-    if rule == "later":
-        verdict[order] = c > first
-        travel[order] = c == first
-    else:
-        shared = np.repeat((np.maximum.reduceat(c, starts) >> 32) != (np.minimum.reduceat(c, starts) >> 32), sizes)
-        verdict[order] = shared
-        travel[order] = ~shared | (c == first)
+    settled = sizes > 1 if rule == "twice" else (np.maximum.reduceat(c, starts) >> 32) != (np.minimum.reduceat(c, starts) >> 32)
+    settled = np.repeat(settled, sizes)
+    verdict[order] = settled
+    travel[order] = ~settled | (c == first)
     return verdict, travel
 
 
-def verdict_rows(docs: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple]:
+def verdict_rows(docs: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, where: Layout) -> list[tuple]:
     """Rows for the buckets of the documents that are named; entry i is the places start[i] .. start[i] + size[i] - 1."""
     rows = []
     db = docs["db"][doc]
@@ -115,23 +132,52 @@ def verdict_rows(docs: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.
     for part in np.split(np.arange(len(db)), np.flatnonzero(np.diff(db)) + 1):
         if len(part):
             named, own = np.unique(doc[part], return_inverse=True)
-            rows.append((int(db[part[0]]), VERDICT, docs[named].tobytes(), zip_arrays(own, start[part], size[part]), None))
+            bucket = int(db[part[0]])
+            rows.append((bucket // where.fan, bucket, VERDICT, docs[named].tobytes(), zip_arrays(own, start[part], size[part]), None))
     return rows
 
 
-def entry_rows(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray, n: int, key_bytes: int) -> list[tuple]:
-    """Rows for the buckets of the keys; entries come ordered by document and place."""
+def entry_rows(docs: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray, bucket: np.ndarray, key_bytes: int, route: int | None = None) -> list[tuple]:
+    """Rows for the partitions ``bucket`` of the keys, or for buckets inside the partition ``route``; entries come ordered by document and place."""
     rows = []
-    bucket = ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(part):
             named, own = np.unique(doc[part], return_inverse=True)
             low = key[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes]
-            rows.append((int(bucket[part[0]]), ENTRY, docs[named].tobytes(), zip_arrays(own, place[part]), low.tobytes()))
+            to = int(bucket[part[0]])
+            rows.append((to if route is None else route, 0 if route is None else to, ENTRY, docs[named].tobytes(), zip_arrays(own, place[part]), low.tobytes()))
     return rows
 
 
+class Entries:
+    """Entries of many rows, put together."""
+
+    def __init__(self, key_bytes: int) -> None:
+        self.key_bytes, self.size = key_bytes, 0
+        self.tables, self.owners, self.places, self.keys = [], [], [], []
+        self.base = 0
+
+    def add(self, docs: bytes, places: bytes, low: bytes) -> None:
+        table = np.frombuffer(docs, DOC)
+        count = len(low) // self.key_bytes
+        own, at = unzip_arrays(places, 2)
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, : self.key_bytes] = np.frombuffer(low, np.uint8).reshape(-1, self.key_bytes)
+        self.tables.append(table)
+        self.owners.append(own + self.base)
+        self.places.append(at)
+        self.keys.append(wide.view("<u8").ravel())
+        self.base += len(table)
+        self.size += count
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(documents, document number, place, key) of all; nothing is held any more."""
+        out = tuple(np.concatenate(x) for x in (self.tables, self.owners, self.places, self.keys))
+        self.__init__(self.key_bytes)
+        return out
+
+
 def as_batch(rows: list[tuple], schema: pa.Schema = ROUTED) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -149,44 +195,79 @@ def in_batches(rows: list[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield as_batch(part)
 
 
-def exchanged(source: DataFrame, entries: Callable[[pa.RecordBatch], tuple], n: int, rule: str, key_bytes: int) -> DataFrame:
-    """Verdict rows of ``rule`` over all entries; ``entries`` gives (document number, place, key) of a slice."""
+#: Entries that a task deals out to the buckets of its partition at once.
+SPLIT_ENTRIES = 4_000_000
+
+
+def exchanged(source: DataFrame, entries: Callable[[pa.RecordBatch], tuple], where: Layout, rule: str, key_bytes: int, often: tuple[int, int] | None = None) -> DataFrame:
+    """Verdict rows of ``rule`` over all entries; ``entries`` gives (document number, place, key) of a slice.
 
+    With ``often``, rows of kind FREQUENT hold the keys (eight bytes each) that a slice has so many times,
+    or that so many slices sent (then only ``key_bytes`` of them are right), and how many.
+    """
+
+    def frequent(key: np.ndarray, least: int) -> list[tuple]:
+        keys, count = np.unique(key, return_counts=True)
+        many = count >= least
+        return [(0, 0, FREQUENT, None, count[many].astype("<i8").tobytes(), keys[many].astype("<u8").tobytes())] if many.any() else []
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             docs = doc_table(batch)
             doc, place, key = entries(batch)
             verdict, travel = judge(docs, doc, place, key, rule)
-            one = np.ones(len(doc), np.int64)
-            yield from in_batches(verdict_rows(docs, doc[verdict], place[verdict], one[verdict]) + entry_rows(docs, doc[travel], place[travel], key[travel], n, key_bytes))
+            one = np.ones(int(verdict.sum()), np.int64)
+            sent = key[travel]
+            yield from in_batches(verdict_rows(docs, doc[verdict], place[verdict], one, where) + entry_rows(docs, doc[travel], place[travel], sent, where.routes(sent)[0], key_bytes) + (frequent(key, often[0]) if often else []))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        """Each batch's rows that are no entries, as they only pass, and its entries."""
+        import pyarrow.compute as pc
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, owners, places, keys, base = [], [], [], [], 0
         for batch in batches:
-            if len(settled := batch.filter(pa.compute.equal(batch.column("kind"), VERDICT))):
-                yield settled  # these were settled where they came from; they only pass
-            for kind, docs, place, low in zip(*(batch.column(c).to_pylist() for c in ("kind", "docs", "places", "keys")), strict=True):
-                if kind != ENTRY:
-                    continue
-                tables.append(np.frombuffer(docs, DOC))
-                own, at = unzip_arrays(place, 2)
-                wide = np.zeros((len(own), 8), np.uint8)
-                wide[:, :key_bytes] = np.frombuffer(low, np.uint8).reshape(-1, key_bytes)
-                owners.append(own + base)
-                places.append(at)
-                keys.append(wide.view("<u8").ravel())
-                base += len(tables[-1])
-        if tables:
-            docs, doc, place, key = (np.concatenate(x) for x in (tables, owners, places, keys))
-            del tables, owners, places, keys
-            verdict, _ = judge(docs, doc, place, key, rule)
-            doc, place = doc[verdict], place[verdict]
-            yield from in_batches(verdict_rows(docs, doc, place, np.ones(len(doc), np.int64)))
-
-    import pyarrow.compute  # noqa: F401
-
-    sent = arrow_map(source, send, ROUTED_SQL)
-    return arrow_map(sent.repartitionById(n, "route"), settle, ROUTED_SQL)
+            own = pc.equal(batch.column("kind"), ENTRY)
+            others = batch.filter(own)
+            yield batch.filter(pc.invert(own)), list(zip(*(others.column(c).to_pylist() for c in ("route", "sub", "docs", "places", "keys")), strict=True))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, route = Entries(key_bytes), 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            docs, doc, place, key = held.taken()
+            yield from in_batches(entry_rows(docs, doc, place, key, where.routes(key)[1], key_bytes, route))
+
+        for settled, rows in parted(batches):
+            yield settled
+            for own, _, *packed in rows:
+                route = own
+                held.add(*packed)
+                if held.size >= SPLIT_ENTRIES:
+                    yield from dealt()
+        if held.size:
+            yield from dealt()
+
+    def judged(held: Entries) -> Iterator[pa.RecordBatch]:
+        docs, doc, place, key = held.taken()
+        verdict, _ = judge(docs, doc, place, key, rule)
+        out = verdict_rows(docs, doc[verdict], place[verdict], np.ones(int(verdict.sum()), np.int64), where)
+        yield from in_batches(out + (frequent(key, often[1]) if often else []))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = Entries(key_bytes), None
+        for settled, rows in parted(batches):
+            if len(settled):
+                yield settled
+            for _, sub, *packed in rows:
+                if sub != bucket and held.size:
+                    yield from judged(held)
+                bucket = sub
+                held.add(*packed)
+        if held.size:
+            yield from judged(held)
+
+    sent = arrow_map(source, send, ROUTED_SQL).repartitionById(where.partitions, "route")
+    if where.fan > 1:
+        sent = arrow_map(sent, split, ROUTED_SQL).sortWithinPartitions("sub")
+    return arrow_map(sent, settle, ROUTED_SQL)
 
 
 class Verdicts:
@@ -213,29 +294,32 @@ class Verdicts:
         return np.concatenate(doc), np.concatenate(start), np.concatenate(size)
 
 
-def with_verdicts(source: DataFrame, verdicts: DataFrame, n: int, use: Callable[[pa.RecordBatch, Verdicts], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def with_verdicts(source: DataFrame, verdicts: DataFrame, where: Layout, use: Callable[[pa.RecordBatch, Verdicts], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """Bring documents and verdicts together by bucket of documents, and call ``use`` on each slice of documents."""
     columns = [c for c in source.columns if c != "db"]
-    docs = source.select(F.col("db").alias("route"), F.lit(DOCUMENT).alias("kind"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("places"), *columns)
-    said = verdicts.select("route", "kind", "docs", "places", *[F.lit(None).cast(source.schema[c].dataType).alias(c) for c in columns])
+    docs = source.select((F.col("db") / where.fan).cast("int").alias("route"), F.col("db").alias("sub"), F.lit(DOCUMENT).alias("kind"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("places"), *columns)
+    said = verdicts.filter(F.col("kind") == VERDICT).select("route", "sub", "kind", "docs", "places", *[F.lit(None).cast(source.schema[c].dataType).alias(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Verdicts()
+        known, bucket = Verdicts(), None
 
-        def documents() -> Iterator[pa.RecordBatch]:
+        def of_one_bucket() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                kinds = batch.column("kind").to_numpy(zero_copy_only=False)
-                said = int((kinds == VERDICT).sum())  # they come first
-                for docs, places in zip(batch.column("docs").slice(0, said).to_pylist(), batch.column("places").slice(0, said).to_pylist(), strict=True):
-                    known.add(docs, places)
-                if said < batch.num_rows:
-                    yield batch.slice(said).select(["route", *columns])
+                subs = batch.column("sub").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(subs)) + 1).tolist(), len(subs)]
+                yield from (batch.slice(a, b - a) for a, b in itertools.pairwise(cuts) if b > a)
 
-        for batch in slices(documents()):
-            table = batch.rename_columns(["db", *columns])
-            yield from use(table, known)
+        for batch in of_one_bucket():
+            sub = batch.column("sub")[0].as_py()
+            if sub != bucket:
+                known, bucket = Verdicts(), sub
+            said = int((batch.column("kind").to_numpy(zero_copy_only=False) == VERDICT).sum())  # they come first
+            for docs, places in zip(batch.column("docs").slice(0, said).to_pylist(), batch.column("places").slice(0, said).to_pylist(), strict=True):
+                known.add(docs, places)
+            for part in slices(iter([batch.slice(said).select(["sub", *columns])])):
+                yield from use(part.rename_columns(["db", *columns]), known)
 
-    return arrow_map(said.unionByName(docs).repartitionById(n, "route").sortWithinPartitions("kind"), run, schema)
+    return arrow_map(said.unionByName(docs).repartitionById(where.partitions, "route").sortWithinPartitions("sub", "kind"), run, schema)
 
 
 def mixed(seed: int, count: int) -> np.ndarray:
@@ -243,16 +327,20 @@ def mixed(seed: int, count: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, count, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-#: Base of the rolling hashes and its powers' inverse.
+#: Base of the rolling hashes of bytes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-def windows(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hash (mod 2**64) of every run of ``width`` symbols, by doubling; the last width - 1 entries are cut off."""
+def windows(symbols: np.ndarray, width: int, base: int = int(BASE), times: Callable[[np.ndarray, int], np.ndarray] | None = None, modulus: int = 2**64) -> np.ndarray:
+    """Rabin-Karp hash of every run of ``width`` symbols, by doubling; the last width - 1 entries are cut off.
+
+    Modulo 2**64 by numpy's own products, or modulo another number with ``times``.
+    """
     if len(symbols) < width:
         return np.zeros(0, np.uint64)
-    factor, h, size = int(BASE), symbols, 1
+    times = times or (lambda h, f: h * np.uint64(f))
+    add = (lambda a, b: a + b) if modulus == 2**64 else _add
+    factor, h, size = base, symbols, 1
     out, have, done = None, 0, width
     while True:
         if done & 1:  # the low bits' blocks stand behind those of the higher ones
@@ -260,16 +348,43 @@ def windows(symbols: np.ndarray, width: int) -> np.ndarray:
                 out = h
             else:
                 m = len(symbols) - have - size + 1
-                out = h[:m] * np.uint64(pow(int(BASE), have, 2**64)) + out[size : size + m]
+                out = add(times(h[:m], pow(base, have, modulus)), out[size : size + m])
             have += size
         done >>= 1
         if not done:
             return out[: len(symbols) - width + 1]
-        h = h[: len(h) - size] * np.uint64(factor) + h[size:]
-        factor = factor * factor % 2**64
+        h = add(times(h[: len(h) - size], factor), h[size:])
+        factor = factor * factor % modulus
         size *= 2
 
 
+#: A Mersenne prime: two different windows of w symbols have equal hashes for at most w - 1 of its bases.
+PRIME = 2**61 - 1
+#: Bases of the two lanes of a window hash; any two numbers drawn at random below the prime.
+LANES = (0x0D6E8FEB86659FD9, 0x1A3F84D5B5B54709)
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = a + b
+    return np.where(total >= np.uint64(PRIME), total - np.uint64(PRIME), total)
+
+
+def _times(a: np.ndarray, factor: int) -> np.ndarray:
+    """a * factor modulo the prime, from 32-bit halves."""
+    u, p = np.uint64, np.uint64(PRIME)
+    f_hi, f_lo = u(factor >> 32), u(factor & (2**32 - 1))
+    hi, lo = a >> u(32), a & u(2**32 - 1)
+    middle, low = hi * f_lo + lo * f_hi, lo * f_lo
+    total = (hi * f_hi << u(3)) + (middle >> u(29)) + ((middle & u(2**29 - 1)) << u(32)) + (low >> u(61)) + (low & p)
+    total = (total & p) + (total >> u(61))
+    return np.where(total >= p, total - p, total)
+
+
+def lanes(symbols: np.ndarray, width: int) -> np.ndarray:
+    """Two independent Rabin-Karp hashes (columns) of every run of ``width`` symbols; a symbol is two numbers below the prime."""
+    return np.stack([windows(symbols[:, k], width, base, _times, PRIME) for k, base in enumerate(LANES)], 1)
+
+
 def settle_bits(h: np.ndarray) -> np.ndarray:
     """Spread a hash over all bits."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

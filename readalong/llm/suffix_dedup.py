@@ -14,6 +14,11 @@ a large corpus can't be held or moved.  Three passes make it sparse without losi
 3. The strings that go meet their documents, and their bytes are cut out.
 
 Only bytes decide in the second pass; hashes never do.
+
+An anchor inside a passage that a large share of all documents holds would bring as many runs together as
+there are surroundings of the passage.  The most frequent anchors (``MOST_FREQUENT`` at most, so their list
+is small; each further one has at most a share of 1 / MOST_FREQUENT of all entries) are therefore not met as
+runs: each of their strings goes by a hash of its own, so that surroundings part and only equal strings meet.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readalong.llm.common import arrow_map, buffers, drop_folder, passes, staged
-from readalong.llm.spans import DOC, ENTRY, ROUTED_SQL, VERDICT, Verdicts, buckets, doc_table, exchanged, in_batches, keyed, mixed, ranks, settle_bits, unzip_arrays, verdict_rows, windows, with_verdicts, zip_arrays
+from readalong.llm.spans import DOC, ENTRY, FREQUENT, ROUTED_SQL, VERDICT, Layout, Verdicts, doc_table, exchanged, in_batches, keyed, layout, mixed, ranks, settle_bits, unzip_arrays, verdict_rows, windows, with_verdicts, zip_arrays
 from readalong.llm.substring_dedup import _marked, intervals
 
 #: Bytes of an anchor's gram.
@@ -36,6 +41,11 @@ GRAM = 18
 #: Suffixes are sorted by so many bytes with multikey quicksort; blind tries order what is still equal.
 SHALLOW = 32
 _BYTE = mixed(5, 256)
+#: An anchor is frequent if a slice of documents holds it so often, or if so many slices hold it.
+OFTEN, SLICES_OFTEN = 64, 256
+MOST_FREQUENT = 10_000
+#: Texts of more bytes are read for anchors in parts of so many; two strings' parts overlap, so none is cut.
+LONG = 1 << 22
 #: Low bits of a sort value that hold the place in the slice, which breaks ties to the left.
 _PLACE = 28
 
@@ -45,8 +55,6 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, n
     none = np.zeros(0, np.int64)
     if len(raw) < width:
         return none, np.zeros(0, np.uint64), none, none, none
-    if len(raw) >> _PLACE:
-        raise ValueError("one text is longer than 2**28 bytes")
     gram = settle_bits(windows(_BYTE[raw], GRAM))
     value = gram >> np.uint64(_PLACE) << np.uint64(_PLACE) | np.arange(len(gram), dtype=np.uint64)
     span, have = width - GRAM + 1, 1
@@ -162,40 +170,61 @@ def deep_shallow(text: bytes, suffixes: np.ndarray, depth: int, shallow: int = S
     return order, np.cumsum(classes) - 1
 
 
-def _anchors_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
+def _anchors_of(batch: pa.RecordBatch, width: int, long: int) -> tuple[np.ndarray, ...]:
     """``anchors`` of a whole batch, in small passes; starts count from the beginning of their document."""
     parts = []
     for before, raw, off in passes(batch):
+        if len(off) == 2 and len(raw) > long:
+            number = 0
+            for lo in range(0, max(1, len(raw) - width + 1), long):
+                part = raw[lo : lo + long + width - 1]
+                doc, key, first, last, own = anchors(part, np.array([0, len(part)]), width)
+                parts.append((doc + before, key, first + lo, last + lo, own + number))
+                number += len(own)
+            continue
         doc, key, first, last, number = anchors(raw, off, width)
         parts.append((doc + before, key, first - off[doc], last - off[doc], number))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _anchor_entries(width: int):
+    long = LONG
+
     def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        doc, key, _, _, number = _anchors_of(batch, width)
+        doc, key, _, _, number = _anchors_of(batch, width, long)
         return doc, number, key
 
     return entries
 
 
-def _runs(batch: pa.RecordBatch, known: Verdicts, width: int, n: int) -> list[tuple]:
+def _runs(batch: pa.RecordBatch, known: Verdicts, width: int, where: Layout, frequent: np.ndarray, long: int) -> list[tuple]:
     """Rows that carry the runs of a slice's shared anchors to the anchors' buckets, and verdicts on those settled here."""
     docs = doc_table(batch)
-    doc, key, first, last, _ = _anchors_of(batch, width)
-    where = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+    doc, key, first, last, _ = _anchors_of(batch, width, long)
     named, number, size = known.of(batch)
+    begins = np.searchsorted(doc, np.arange(batch.num_rows + 1))
     wanted = np.zeros(len(doc) + 1, np.int64)
-    np.add.at(wanted, where[named] + number, 1)
-    np.add.at(wanted, where[named] + number + size, -1)
-    chosen = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-    if not len(chosen):
+    np.add.at(wanted, begins[named] + number, 1)
+    np.add.at(wanted, begins[named] + number + size, -1)
+    chosen = np.cumsum(wanted[:-1]) > 0
+    if not chosen.any():
         return []
     raw, off = buffers(batch.column("text"))
     body, rank = raw.tobytes(), ranks(docs)
+    often = chosen & np.isin(key & KEY_MASK, frequent)
+    if often.any():  # one run for each string, which goes by its own hash
+        strings = (last - first + 1)[often]
+        each = np.repeat(first[often] - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
+        owner = np.repeat(doc[often], strings)
+        view = np.lib.stride_tricks.sliding_window_view(raw, width)[off[owner] + each]
+        own = settle_bits(windows(_BYTE[view].T, width)[0]) if len(view) else np.zeros(0, np.uint64)
+        rest = chosen & ~often
+        doc, key, first, last = (np.concatenate(x) for x in ((doc[rest], owner), (key[rest], own), (first[rest], each), (last[rest], each)))
+    else:
+        doc, key, first, last = doc[chosen], key[chosen], first[chosen], last[chosen]
     held: dict[bytes, list[int]] = {}
     at = off[doc] + first
-    for j, a, b in zip(chosen.tolist(), at[chosen].tolist(), (at + last - first + width)[chosen].tolist(), strict=True):
+    for j, (a, b) in enumerate(zip(at.tolist(), (at + last - first + width).tolist(), strict=True)):
         held.setdefault(body[a:b], []).append(j)
     settled, travel = [], []
     for members in held.values():
@@ -207,40 +236,51 @@ def _runs(batch: pa.RecordBatch, known: Verdicts, width: int, n: int) -> list[tu
         else:
             travel += members
     settled, travel = np.array(settled, np.int64), np.sort(np.array(travel, np.int64))
-    rows = verdict_rows(docs, doc[settled], first[settled], last[settled] - first[settled] + 1)
-    bucket = ((key[travel] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    for part in np.split(travel[order], np.flatnonzero(np.diff(bucket[order])) + 1):
+    rows = verdict_rows(docs, doc[settled], first[settled], last[settled] - first[settled] + 1, where)
+    route, sub = where.routes(key[travel])
+    order = np.lexsort((sub, route))
+    for k in np.split(order, np.flatnonzero(np.diff(route[order]) | np.diff(sub[order])) + 1):
+        part = travel[k]
         owners, own = np.unique(doc[part], return_inverse=True)
         size = last[part] - first[part] + width
         text = b"".join(body[a : a + s] for a, s in zip(at[part].tolist(), size.tolist(), strict=True))
-        k = int((key[part[0]] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32))
-        rows.append((k, ENTRY, docs[owners].tobytes(), zip_arrays(own, first[part], size), key[part].astype("<u8").tobytes() + zstandard.compress(text, 1)))
+        rows.append((int(route[k[0]]), int(sub[k[0]]), ENTRY, docs[owners].tobytes(), zip_arrays(own, first[part], size), key[part].astype("<u8").tobytes() + zstandard.compress(text, 1)))
     return rows
 
 
-def _settle_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Verdicts on the runs of a bucket of anchors."""
+def _settle_runs(batches: Iterator[pa.RecordBatch], width: int, where: Layout) -> Iterator[pa.RecordBatch]:
+    """Verdicts on the runs of each bucket of anchors of a partition; rows come bucket by bucket."""
     import pyarrow.compute as pc
 
-    tables, base = [], 0
-    held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    held, bucket = [], None
     for batch in batches:
-        if len(settled := batch.filter(pc.equal(batch.column("kind"), VERDICT))):
+        own = pc.equal(batch.column("kind"), VERDICT)
+        if len(settled := batch.filter(own)):
             yield settled
-        for kind, docs, places, keys in zip(*(batch.column(c).to_pylist() for c in ("kind", "docs", "places", "keys")), strict=True):
-            if kind != ENTRY:
-                continue
-            tables.append(np.frombuffer(docs, DOC))
-            own, start, size = unzip_arrays(places, 3)
-            key = np.frombuffer(keys[: 8 * len(own)], "<u8").tolist()
-            text = zstandard.decompress(keys[8 * len(own) :])
-            ends = np.cumsum(size)
-            for k, a, b, d, s in zip(key, (ends - size).tolist(), ends.tolist(), (own + base).tolist(), start.tolist(), strict=True):
-                held.setdefault((k, text[a:b]), []).append((d, s))
-            base += len(tables[-1])
-    if not tables:
-        return
+        others = batch.filter(pc.invert(own))
+        for sub, *packed in zip(*(others.column(c).to_pylist() for c in ("sub", "docs", "places", "keys")), strict=True):
+            if sub != bucket and held:
+                yield from _settle_bucket(held, width, where)
+                held = []
+            bucket = sub
+            held.append(packed)
+    if held:
+        yield from _settle_bucket(held, width, where)
+
+
+def _settle_bucket(rows: list[list[bytes]], width: int, where: Layout) -> Iterator[pa.RecordBatch]:
+    """Verdicts on the runs of one bucket of anchors."""
+    tables, base = [], 0
+    held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for packed, places, keys in rows:
+        tables.append(np.frombuffer(packed, DOC))
+        own, start, size = unzip_arrays(places, 3)
+        key = np.frombuffer(keys[: 8 * len(own)], "<u8").tolist()
+        text = zstandard.decompress(keys[8 * len(own) :])
+        ends = np.cumsum(size)
+        for k, a, b, d, s in zip(key, (ends - size).tolist(), ends.tolist(), (own + base).tolist(), start.tolist(), strict=True):
+            held.setdefault((k, text[a:b]), []).append((d, s))
+        base += len(tables[-1])
     docs = np.concatenate(tables)
     rank = ranks(docs)
     doc, start, count = [], [], []
@@ -282,18 +322,33 @@ def _settle_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
                     doc.append(d)
                     start.append(s + a)
                     count.append(b - a)
-    yield from in_batches(verdict_rows(docs, np.array(doc, np.int64), np.array(start, np.int64), np.array(count, np.int64)))
+    yield from in_batches(verdict_rows(docs, np.array(doc, np.int64), np.array(start, np.int64), np.array(count, np.int64), where))
+
+
+#: The bits of an anchor's hash that meet in the first pass.
+KEY_MASK = np.uint64(2**48 - 1)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, keys = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8") for c in ("places", "keys"))
+        yield pa.RecordBatch.from_arrays([pa.array(keys & int(KEY_MASK)), pa.array(counts)], ["key", "count"])
 
 
-def _verdicts(source: DataFrame, n: int, width: int) -> DataFrame:
+def _verdicts(source: DataFrame, where: Layout, width: int) -> DataFrame:
     """Stored verdict rows: starts of strings that also start in an earlier document."""
-    shared, path = staged(exchanged(source, _anchor_entries(width), n, "shared", 6), "anchors")
+    long = LONG
+    shared, path = staged(exchanged(source, _anchor_entries(width), where, "shared", 6, (OFTEN, SLICES_OFTEN)), "anchors")
+    counts = arrow_map(shared.filter(F.col("kind") == FREQUENT).select("places", "keys"), _frequent, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    frequent = np.array([r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).collect()], np.uint64)
 
     def send(batch: pa.RecordBatch, known: Verdicts) -> Iterator[pa.RecordBatch]:
-        yield from in_batches(_runs(batch, known, width, n))
+        yield from in_batches(_runs(batch, known, width, where, frequent, long))
 
-    runs = with_verdicts(source.select("id", "tk", "db", "text"), shared, n, send, ROUTED_SQL)
-    found, _ = staged(arrow_map(runs.repartitionById(n, "route"), lambda batches: _settle_runs(batches, width), ROUTED_SQL), "runs")
+    runs = with_verdicts(source.select("id", "tk", "db", "text"), shared, where, send, ROUTED_SQL).repartitionById(where.partitions, "route")
+    if where.fan > 1:
+        runs = runs.sortWithinPartitions("sub")
+    found, _ = staged(arrow_map(runs, lambda batches: _settle_runs(batches, width, where), ROUTED_SQL), "runs")
     drop_folder(source.sparkSession, path)
     return found
 
@@ -318,8 +373,8 @@ def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     text are one document and get one result each; rows that share a doc_id alone are ordered by a hash of
     their text; null ids come first.  Extra columns are ignored; an empty table gives no rows.
     """
-    n = buckets(docs)
-    source = keyed(docs, n)
+    where = layout(docs)
+    source = keyed(docs, where)
 
     def use(batch: pa.RecordBatch, known: Verdicts) -> Iterator[pa.RecordBatch]:
         raw, off, marked = _cut(batch, known, width)
@@ -327,7 +382,7 @@ def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
         ids = [None if i == -(2**63) else i for i in batch.column("id").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(gone, pa.int64()), intervals(marked, off), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "removed", "kept"])
 
-    return with_verdicts(source, _verdicts(source, n, width), n, use, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    return with_verdicts(source, _verdicts(source, where, width), where, use, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def rewritten(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -336,9 +391,9 @@ def rewritten(docs: DataFrame, width: int = 50) -> DataFrame:
     A character of which only some bytes would go stays whole.  Rows that lose all of their text go; null
     and empty texts stay as they are.  Rows are treated as by ``dedup``.
     """
-    n = buckets(docs)
+    where = layout(docs)
     others = [c for c in docs.columns if c != "text"]
-    source = keyed(docs, n, rest=True)
+    source = keyed(docs, where, rest=True)
     schema = T.StructType([T.StructField("text", T.StringType()), source.schema["rest"]])
 
     def use(batch: pa.RecordBatch, known: Verdicts) -> Iterator[pa.RecordBatch]:
@@ -353,7 +408,7 @@ def rewritten(docs: DataFrame, width: int = 50) -> DataFrame:
         left = pa.array((gone == 0) | (gone < np.diff(off)), pa.bool_())
         yield pa.RecordBatch.from_arrays([texts, batch.column("rest")], ["text", "rest"]).filter(left)
 
-    out = with_verdicts(source, _verdicts(source, n, width), n, use, schema)
+    out = with_verdicts(source, _verdicts(source, where, width), where, use, schema)
     columns = {c: F.col("rest")[c].alias(c) for c in others}
     if "n_chars" in columns:
         columns["n_chars"] = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("rest")["n_chars"]).alias("n_chars")
