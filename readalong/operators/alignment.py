@@ -14,18 +14,52 @@ from pyspark.sql import functions as F
 LOOKAHEAD, SPREAD, LEAST_WINDOW, LEAST_SCORE, LEAST_TOKENS = 6, 3, 24, 0.33, 4
 #: UTF-8 bytes of passages that one pass over the documents takes.
 BLOCK_BYTES = 4 << 20
+#: Chunks that one row brings to a worker.
+CHUNKS_PER_ROW = 1024
+#: Words of a document up to which all starts are tried at once.
+FEW_WORDS = 2048
 MATCHES = "doc_id long, chunk_index long, score double, span int, matched array<int>, n_matched int, n_tokens int"
 
 
 def _best(chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int) -> tuple[int, int, list[int]] | None:
-    """(start, span, matched places) of the best start, over all starts at once.
+    """(start, span, matched places) of the best start, or None if no start matches enough.
 
     From each start every token takes its first place among the next words before the window's end, or
     none.  Most tokens matched wins, then the shortest span, then the first start.
+
+    A start that matches k of m tokens misses m - k, so of any m - k + 1 tokens it matches one, whose place
+    stands in its window.  Starts are tried around the places of the rarest tokens, of one, two, four and so
+    on, until these are more than a start that is at least as good as the best can miss; in a short document
+    around all of them at once.
     """
-    start = np.arange(n)
-    limit = np.minimum(n, start + max(SPREAD * len(chunk), LEAST_WINDOW))
-    at, first, count = start.copy(), np.full(n, -1), np.zeros(n, int)
+    m = len(chunk)
+    window = max(SPREAD * m, LEAST_WINDOW)
+    least = max(min(LEAST_TOKENS, m), math.ceil(LEAST_SCORE * m))
+    none = np.zeros(0, int)
+    rarest = sorted(chunk, key=lambda w: len(places.get(w, none)))
+    tried = np.zeros(n, bool)
+    best, k, used = None, 0, 0
+    while k < (most := m - max(least, -best[0] if best else 0) + 1):
+        k = most if n <= FEW_WORDS else min(max(1, 2 * k), most)
+        around = np.zeros(n + 1, int)
+        for token in dict.fromkeys(rarest[used:k]):
+            own = places.get(token, none)
+            np.add.at(around, np.maximum(0, own - window + 1), 1)
+            np.add.at(around, own + 1, -1)
+        used = k
+        start = np.flatnonzero((np.cumsum(around[:-1]) > 0) & ~tried)
+        tried[start] = True
+        if found := _best_of(start, chunk, places, n, lookahead, window):
+            best = min(best, found) if best else found
+    if best is None or -best[0] < least:
+        return None
+    return best[2], best[1], _matched(best[2], chunk, places, n, lookahead, window)
+
+
+def _best_of(start: np.ndarray, chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int, window: int) -> tuple[int, int, int] | None:
+    """(minus tokens matched, span, start) of the best of some starts, all advanced together."""
+    limit = np.minimum(n, start + window)
+    at, first, count = start.copy(), np.full(len(start), -1), np.zeros(len(start), int)
     for token in chunk:
         own = places.get(token)
         if own is None:
@@ -40,14 +74,19 @@ def _best(chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: in
         return None
     span = np.where(count > 0, at - first, n + 1)
     s = int(np.lexsort((start, span, -count))[0])
-    matched, j = [], s
+    return -int(count[s]), int(span[s]), int(start[s])
+
+
+def _matched(start: int, chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int, window: int) -> list[int]:
+    """The places that one start matches."""
+    matched, j, limit = [], start, min(n, start + window)
     for token in chunk:
         own = places.get(token)
         k = np.searchsorted(own, j) if own is not None else 0
-        if own is not None and k < len(own) and own[k] <= j + lookahead and own[k] < limit[s]:
+        if own is not None and k < len(own) and own[k] <= j + lookahead and own[k] < limit:
             matched.append(int(own[k]))
             j = int(own[k]) + 1
-    return s, int(span[s]), matched
+    return matched
 
 
 def _places(said: list[str]) -> dict[str, np.ndarray]:
@@ -62,7 +101,7 @@ def _row(doc: int, index: int, chunk: list[str], places: dict[str, np.ndarray],
     """The row of a chunk that matches, or none."""
     m = len(chunk)
     found = _best(chunk, places, n, lookahead) if m and n else None
-    if found and len(found[2]) >= min(LEAST_TOKENS, m) and len(found[2]) / m >= LEAST_SCORE:
+    if found:
         return [(doc, index, len(found[2]) / m, found[1], found[2], len(found[2]), m)]
     return []
 
@@ -77,8 +116,8 @@ def match_chunks(chunks: DataFrame, words: DataFrame, lookahead: int = LOOKAHEAD
     """(doc_id, chunk_index, score, span, matched, n_matched, n_tokens): the best match of each chunk's tokens.
 
     ``chunks`` has tokens ``chunk``, ``words`` one array ``words`` for each document.  Every word is a
-    start; the scan from all starts advances one token at a time as arrays, in an Arrow worker that gets
-    one row for each document.
+    possible start.  An Arrow worker gets a document's words with up to ``CHUNKS_PER_ROW`` of its chunks, so
+    that a long document is the work of several tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +129,21 @@ def match_chunks(chunks: DataFrame, words: DataFrame, lookahead: int = LOOKAHEAD
                     rows += _row(doc, part["chunk_index"], part["chunk"], places, len(said), lookahead)
             yield _batch(rows)
 
-    parts = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")).alias("chunks"))
-    return parts.join(words.select("doc_id", "words"), "doc_id").mapInArrow(run, MATCHES)
+    own = F.struct(F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
+    parts = chunks.groupBy("doc_id", F.floor(F.col("chunk_index") / CHUNKS_PER_ROW).alias("part")).agg(F.collect_list(own).alias("chunks"))
+    return bounded(parts.join(words.select("doc_id", "words"), "doc_id").select("doc_id", "chunks", "words")).mapInArrow(run, MATCHES)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends at most so many rows or bytes to a Python worker at once, as a row may hold a whole document."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))):
+        df.sparkSession.conf.set(key, value)
+    return df
+
+
+def word_arrays(printed: DataFrame) -> DataFrame:
+    """(doc_id, words): each document's words (word_idx, norm) in order."""
+    return printed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "norm"))), lambda x: x["norm"]).alias("words"))
 
 
 def match_passages(passages: DataFrame, words: DataFrame, lookahead: int = LOOKAHEAD) -> DataFrame:
@@ -126,7 +178,7 @@ def match_passages(passages: DataFrame, words: DataFrame, lookahead: int = LOOKA
                         rows += _row(doc, *block[p], places, len(said), lookahead)
                 yield _batch(rows)
 
-        out = out.unionAll(words.select(F.col("doc_id").cast("long").alias("doc_id"), "words").mapInArrow(run, MATCHES))
+        out = out.unionAll(bounded(words.select(F.col("doc_id").cast("long").alias("doc_id"), "words")).mapInArrow(run, MATCHES))
     return out
 
 
@@ -188,4 +240,20 @@ def align_words(spoken: DataFrame, printed: DataFrame, lookahead: int = 8) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32())], ["doc_id", "spoken_idx", "printed_idx"])
 
     both = spoken.select("doc_id", F.col("tokens").alias("spoken")).join(printed.select("doc_id", F.col("tokens").alias("printed")), "doc_id")
-    return both.mapInArrow(run, "doc_id long, spoken_idx int, printed_idx int")
+    return bounded(both).mapInArrow(run, "doc_id long, spoken_idx int, printed_idx int")
+
+
+def spoken_words(recognised: DataFrame, estimated: DataFrame) -> DataFrame:
+    """Words (doc_id, word_idx, norm, start, end) of each document from the recogniser, or estimated ones where it gave none, with ``timing_source``."""
+    heard = recognised.select("doc_id").distinct()
+    columns = ["doc_id", "word_idx", "norm", "start", "end"]
+    first = recognised.select(*columns).withColumn("timing_source", F.lit("forced-whisper"))
+    return first.unionByName(estimated.join(heard, "doc_id", "left_anti").select(*columns).withColumn("timing_source", F.lit("estimated-chunk")))
+
+
+def page_words(from_metadata: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Words (doc_id, word_idx, norm) of each document from its metadata, or from a scan where that gave none, with ``word_source``."""
+    there = from_metadata.select("doc_id").distinct()
+    columns = ["doc_id", "word_idx", "norm"]
+    first = from_metadata.select(*columns).withColumn("word_source", F.lit("metadata"))
+    return first.unionByName(scanned.join(there, "doc_id", "left_anti").select(*columns).withColumn("word_source", F.lit("scan")))

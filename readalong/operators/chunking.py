@@ -5,30 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readalong.functions.text import SPACE, let, lines, strip, words
+from readalong.functions.text import LINE_END, SPACE, let, strip, words
 
 #: Longest chunk: the chunk size and a fixed allowance.
 CHUNK_SIZE, ALLOWANCE = 400, 200
 
 
+#: Between two paragraphs.
+BLANK = rf"\n{SPACE}*\n+"
+#: Stands between sentences while they are told apart; a text that holds it is split the slow way.
+MARK = "\x01"
+
+
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, stripped, none empty."""
-    return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n+"), strip), lambda b: b != "")
+    return F.filter(F.transform(F.split(text, BLANK), strip), lambda b: b != "")
 
 
 def flat(block: Column) -> Column:
     """A block's stripped lines joined by single spaces."""
-    return F.array_join(F.filter(F.transform(lines(block), strip), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(F.split(block, LINE_END), strip), lambda x: x != ""), " ")
 
 
 def looks_like_heading(block: Column) -> Column:
     """At most 120 characters and 14 words, some, and no ``. ! ? :`` at the end."""
-    return (F.size(words(block)) > 0) & (F.length(block) <= 120) & (F.size(words(block)) <= 14) & ~block.rlike(r"[.!?:]\z")
+    short = (F.length(block) <= 120) & ~F.right(block, F.lit(1)).isin(".", "!", "?", ":")
+    return short & F.size(words(block)).between(1, 14)
+
+
+def _split_after(text: Column, marks: str) -> Column:
+    """Parts that end in one of ``marks`` and white space, without that space."""
+    fast = lambda t: F.split(F.regexp_replace(t, rf"([{marks}]){SPACE}+", f"$1{MARK}"), MARK)
+    return let(text, lambda t: F.when(t.contains(MARK), F.split(t, rf"(?<=[{marks}]){SPACE}+")).otherwise(fast(t)))
 
 
 def sentences(block: Column) -> Column:
-    """Parts that end in ``. ! ?`` and white space; abbreviations are not known, unlike in a trained splitter."""
-    return F.filter(F.transform(F.split(block, rf"(?U)(?<=[.!?]){SPACE}+"), strip), lambda s: s != "")
+    """Parts of a stripped block that end in ``. ! ?`` and white space, stripped; abbreviations are not known, unlike in a trained splitter."""
+    return F.filter(_split_after(block, ".!?"), lambda s: s != "")
 
 
 def _packed(parts: Column, most: int, long: bool) -> Column:
@@ -58,17 +71,23 @@ def _packed(parts: Column, most: int, long: bool) -> Column:
 
 def clauses(sentence: Column, most: int) -> Column:
     """A long sentence's clauses, packed; a clause longer than ``most`` stays whole."""
-    return _packed(F.split(sentence, rf"(?U)(?<=[;,]){SPACE}+"), most, False)
+    return _packed(_split_after(sentence, ";,"), most, False)
 
 
 def units(text: Column, most: int = CHUNK_SIZE + ALLOWANCE) -> Column:
     """Chunks of a text, in order; none spans two paragraphs."""
 
-    def block(b: Column) -> Column:
-        headed = let(flat(b), lambda f: F.when(looks_like_heading(f), F.concat(f, F.lit("."))).otherwise(f))
-        return let(headed, lambda h: _packed(sentences(h), most, True))
+    def packed(f: Column) -> Column:
+        headed = F.when(looks_like_heading(f), F.concat(f, F.lit("."))).otherwise(f)
+        return let(headed, lambda h: F.when(F.length(h) < most, _short(h)).otherwise(_packed(sentences(h), most, True)))
+
+    # lines are stripped as they are joined, so blocks need not be; parts of stripped blocks are stripped
+    return F.flatten(F.transform(F.split(text, BLANK), lambda b: let(flat(b), packed)))
+
 
-    return F.filter(F.transform(F.flatten(F.transform(paragraphs(text), block)), strip), lambda u: u != "")
+def _short(block: Column) -> Column:
+    """The chunk of a block that is shorter than the longest chunk: its sentences joined by single spaces."""
+    return F.when(block == "", F.array().cast("array<string>")).otherwise(F.array(F.array_join(sentences(block), " ")))
 
 
 def chunk_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_SIZE + ALLOWANCE) -> DataFrame:

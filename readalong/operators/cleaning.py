@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readalong.functions.text import SPACE, let, lines, rstrip, sentence_end, strip
+from readalong.functions.text import SPACE, let, lines, rstrip, sentence_end, strip, unix_lines
 from readalong.operators.tables import speak_tables
 
 #: Headings from which on a document is left out.  Fixed values.
@@ -24,6 +27,16 @@ STEPS = (
     ("br", r"(?Ui)<\s*br\s*/?\s*>", "\n"),
     ("tag", r"</?[^>]+>", ""),
 )
+#: Strings of which a text has one if a step changes it.
+HINTS = {"heading": ("#",), "rule": ("---", "*", "_"), "fence": ("```",), "code": ("`",), "image": ("![",), "link": ("](",), "star": ("*",), "underscore": ("_",), "br": ("<",), "tag": ("<",)}
+#: A list item, and how a text with one starts a line.  Fixed values.
+ITEM = rf"(?d)^{SPACE}*(?:[-+*]|(?U)\d+(?-U)[.)]){SPACE}+(.+?){SPACE}*$"
+ITEM_HINT = rf"(?dm)^{SPACE}*(?:[-+*]|(?U)\d+(?-U)[.)]){SPACE}"
+
+
+def _changed(text: Column, hints: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """``change`` of a text that holds one of ``hints``; other texts as they are."""
+    return let(text, lambda t: F.when(reduce(lambda a, b: a | b, [t.contains(h) for h in hints]), change(t)).otherwise(t))
 
 
 def without_references(text: Column) -> Column:
@@ -34,7 +47,7 @@ def without_references(text: Column) -> Column:
 def without_markup(text: Column, upto: str | None = None) -> Column:
     """Inline markup removed, step by step; ``upto`` names the last step."""
     for name, pattern, replacement in STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
+        text = _changed(text, HINTS[name], lambda t, p=pattern, r=replacement: F.regexp_replace(t, p, r))
         if name == upto:
             break
     return text
@@ -42,20 +55,21 @@ def without_markup(text: Column, upto: str | None = None) -> Column:
 
 def speak_list_items(text: Column) -> Column:
     """List items lose their mark and end like a sentence; other lines stay as they are."""
-    mark = r"(?Ud)^\s*(?:[-+*]|\d+[.)])\s+(.+?)\s*$"
 
     def line(raw: Column) -> Column:
-        return let(rstrip(raw), lambda r: F.when(r.rlike(mark), sentence_end(F.regexp_extract(r, mark, 1))).otherwise(raw))
+        item = lambda r: F.when(r.rlike(ITEM), sentence_end(F.regexp_extract(r, ITEM, 1))).otherwise(raw)
+        return F.when(raw.rlike(ITEM_HINT), let(rstrip(raw), item)).otherwise(raw)
 
-    return F.array_join(F.transform(lines(text), line), "\n")
+    return let(unix_lines(text), lambda t: F.when(t.rlike(ITEM_HINT), F.array_join(F.transform(lines(t), line), "\n")).otherwise(t))
 
 
 def normal_space(text: Column) -> Column:
     """At most one blank line, single spaces, no lines of white space, none at the ends."""
-    text = F.regexp_replace(text, "\n{3,}", "\n\n")
-    text = F.regexp_replace(text, "[ \t]{2,}", " ")
-    text = F.regexp_replace(text, rf"(?Udm)^{SPACE}+$", "")
-    return strip(text)
+    text = _changed(text, ("\n\n\n",), lambda t: F.regexp_replace(t, "\n{3,}", "\n\n"))
+    text = _changed(text, ("  ", "\t"), lambda t: F.regexp_replace(t, "[ \t]{2,}", " "))
+    # white space after a line end; that at the very start goes with what is stripped
+    blank = lambda t: F.when(t.rlike(rf"\n(?!\n){SPACE}"), F.regexp_replace(t, rf"(?dm)^{SPACE}+$", "")).otherwise(t)
+    return strip(let(text, blank))
 
 
 def clean(text: Column, remove_references: bool = True) -> Column:
@@ -73,5 +87,6 @@ def clean_documents(docs: DataFrame, remove_references: bool = True) -> DataFram
 
 def plain_html(html: Column) -> Column:
     """Line breaks kept, tags removed, white space normalised; contents of scripts and entities stay."""
-    text = F.regexp_replace(html, STEPS[8][1], "\n")
-    return normal_space(F.regexp_replace(text, STEPS[9][1], ""))
+    for name, pattern, replacement in STEPS[8:]:
+        html = _changed(html, HINTS[name], lambda t, p=pattern, r=replacement: F.regexp_replace(t, p, r))
+    return normal_space(html)

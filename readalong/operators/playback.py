@@ -90,3 +90,57 @@ def scroll_by(top: Column, bottom: Column, view_top: Column, view_bottom: Column
 def merged_pages(results: DataFrame) -> DataFrame:
     """Highlights of one-page jobs at their place in the whole file: local page index and the page's own."""
     return results.withColumn("page_index", F.col("page_index") + F.col("page_position"))
+
+
+def page_sizes(pages: DataFrame) -> DataFrame:
+    """Width and height of (.., x0, y0, x1, y1) views, each at least 1; missing corners are 0, 0, 1, 1."""
+    side = lambda lo, hi: F.greatest(F.lit(1.0), F.abs(F.coalesce(F.col(hi), F.lit(1.0)) - F.coalesce(F.col(lo), F.lit(0.0))))
+    return pages.withColumns({"width": side("x0", "x1"), "height": side("y0", "y1")})
+
+
+def changed_sizes(known: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """``known`` sizes (by, width, height) with those of ``sizes``; ``changed`` says where that made a difference."""
+    both = known.withColumnsRenamed({"width": "w", "height": "h"}).join(sizes.select(*by, "width", "height"), by, "full")
+    changed = F.col("width").isNotNull() & ~(F.col("width").eqNullSafe(F.col("w")) & F.col("height").eqNullSafe(F.col("h")))
+    return both.select(*by, F.coalesce("width", "w").alias("width"), F.coalesce("height", "h").alias("height"), changed.alias("changed"))
+
+
+def megabytes(size: Column) -> Column:
+    """Bytes as MB with two decimals."""
+    return F.format_string("%.2f MB", size / 1024 / 1024)
+
+
+def minutes(seconds: Column) -> Column:
+    """Seconds as whole minutes, halves up; null for no audio."""
+    return F.when(seconds > 0, F.concat(F.floor(seconds / 60 + 0.5).cast("string"), F.lit("m audio")))
+
+
+def elapsed(seconds: Column) -> Column:
+    """Elapsed seconds as a struct of minutes and seconds."""
+    return F.struct(F.floor(seconds / 60).cast("long").alias("mins"), (seconds % 60).cast("long").alias("secs"))
+
+
+def after_page(pages: DataFrame) -> DataFrame:
+    """For each page that ends: the page that plays next, null after the last, and where its pending chunk starts.
+
+    ``pages`` has doc_id, page_index, pending (a chunk asked for, or null) and starts (its chunks' start times).
+    The pending chunk is held within the page's chunks; a page without chunks starts nowhere.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page_index")
+    held = F.greatest(F.lit(0), F.least(F.size("starts") - 1, F.col("pending")))
+    seek = F.when(F.col("pending").isNotNull() & (F.size("starts") > 0), F.get("starts", held))
+    return pages.withColumns({"next_page": F.lead("page_index").over(order), "seek": seek, "autoplay": F.lead("page_index").over(order).isNotNull()})
+
+
+def page_results(pages: DataFrame, progress_count: Column) -> DataFrame:
+    """Page results with missing parts filled in: no timing is an empty one, and the page total falls back on the pages there are."""
+    total = F.count("*").over(Window.partitionBy("doc_id"))
+    return pages.withColumns({"chunk_timing": F.coalesce("chunk_timing", F.array().cast("array<double>")), "total_pages": F.when(progress_count > 0, progress_count.cast("long")).otherwise(total)})
+
+
+def appended(shown: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Pages shown so far and one batch more, each page once (the later one), with ``position`` in page order."""
+    both = shown.withColumn("_turn", F.lit(0)).unionByName(arrived.withColumn("_turn", F.lit(1)))
+    newest = Window.partitionBy("doc_id", "page_index").orderBy(F.desc("_turn"))
+    once = both.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", "_turn")
+    return once.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index")) - 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readalong.functions.text import let, lines, sentence_end, strip
+from readalong.functions.text import let, lines, sentence_end, strip, unix_lines
 
+#: A line of a table.  Fixed value.
 TABLE_LINE = r"(?Ud)^\s*\|.*\|\s*$"
 
 
@@ -74,4 +75,4 @@ def speak_tables(text: Column) -> Column:
         return let(flags, of_flags)
 
     # most texts hold no table line at all; they only lose their last line end
-    return let(text, lambda t: F.when(t.contains("|"), let(lines(t), of_lines)).otherwise(F.array_join(lines(t), "\n")))
+    return let(text, lambda t: F.when(t.contains("|"), let(lines(t), of_lines)).otherwise(unix_lines(t)))

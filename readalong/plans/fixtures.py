@@ -24,7 +24,7 @@ MARKUP = _texts(
     "a < b and c > d",
     "one<br>two<BR />three <b>bold</b>",
     "```⏎code⏎```⏎after",
-    "Steps:⏎- Item A⏎- Item B!⏎1. First⏎2) Second;⏎plain",
+    "Steps:⏎- Mix⏎- Stir!⏎1. First⏎2) Second;⏎plain",
     "Intro⏎⏎⏎⏎Next   paragraph.⏎   ⏎End",
     "REFERENCES⏎gone",
     "Works  Cited⏎gone",
@@ -44,7 +44,7 @@ TABLES = _texts(
     "| Q | R |⏎|---|---|⏎| yes? | no! |⏎|  |  |⏎| last: | x; |",
 )
 
-LISTS = _texts("- Item A⏎- Item B", "+ one⏎* two.⏎1. three⏎2) four:⏎ - five", "-nolist⏎1.no⏎text", "- tail?⏎")
+LISTS = _texts("- bring bread⏎- bring salt", "+ one⏎* two.⏎1. three⏎2) four:⏎ - five", "-nolist⏎1.no⏎text", "- tail?⏎")
 
 HEADINGS = _texts("Intro", "Intro:", "Intro;", "A heading⏎⏎Body text that ends here. And more!", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen")
 
@@ -84,3 +84,29 @@ JOBS = _values("job_id, run_id, status, pdf_path, error, final_mp3, final_wav",
 )))
 
 PROGRESS = _values("page_index, page_count, phase, job_id", "0, 4, 'splitting', NULL", "0, 4, 'uploading', NULL", "1, 4, 'processing', 'j1'", "1, 4, 'metadata', 'j1'", "3, 4, 'done', 'j3'", "0, 0, 'processing', NULL", "2, 4, 'odd', NULL")
+
+REQUIREMENTS = _values("job_id, name, present", "1, 'ffmpeg', true", "1, 'voice model', true", "2, 'voice config', false", "2, 'ffmpeg', false", "2, 'voice model', true", "3, 'ffmpeg', CAST(NULL AS BOOLEAN)")
+
+REQUESTS = _values("request_id, pdf_path, upload", "1, 'a.pdf', NULL", "2, '/data/b.pdf', ''", "3, 'none.pdf', NULL", "4, 'a.pdf', 'x.pdf'", "5, NULL, NULL", "6, NULL, 'My Paper (v2).pdf'", "7, '', '...'", "8, '/srv/a.pdf', NULL")
+
+KNOWN = _values("path", "'/srv/a.pdf'", "'/data/b.pdf'", "'/srv/a.pdf'")
+
+#: Bytes in hexadecimal: plain, UTF-8, Latin-1, white space, none.
+BYTES = _values("doc_id, h", "CAST(-1 AS BIGINT), '706C61696E'", "CAST(-2 AS BIGINT), 'C3A9743F'", "CAST(-3 AS BIGINT), 'E974E9'", "CAST(-4 AS BIGINT), '200A09'", "CAST(-5 AS BIGINT), ''", "CAST(-6 AS BIGINT), 'FFFE41'")
+
+STATES = _values("job_id, at_ms, status, error", "'a', 0, 'processing', NULL", "'a', 7000, 'done', NULL", "'b', 0, 'processing', NULL", "'b', 3000, 'error', 'Text is empty'", "'b', 9000, 'done', NULL", "'c', 0, 'processing', NULL", "'d', 12001, 'error', NULL", "'e', 0, 'done', NULL")
+
+READS = f"SELECT j.job_id, w.what FROM ({_values('job_id', *(repr(x) for x in ('j1', 'j2', 'j3', 'j9')))}) AS j CROSS JOIN ({_values('what', *(repr(x) for x in ('status', 'metadata', 'highlights', 'audio', 'pdf')))}) AS w"
+
+RESULTS = _values("job_id, status, metadata, highlights, audio", "'j1', 'done', 'm.json', 'h.json', 'a.mp3'", "'j2', 'done', NULL, 'h.json', NULL", "'j3', 'processing', NULL, NULL, NULL")
+
+LAID = _values("doc_id, page_index, ordinal, x0, y0, x1, y1, width, height, txt", *(f"{d}, {p}, {o}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({e} AS DOUBLE), CAST(600 AS DOUBLE), CAST(800 AS DOUBLE), '{t}'" for d, p, o, a, b, c, e, t in (
+    (1, 0, 0, 320, 200, 550, 240, "Right column"), (1, 0, 1, 50, 200, 280, 240, "Left column"), (1, 0, 2, 52, 100, 280, 130, "Top of the left"), (1, 0, 3, 320, 50, 550, 80, "A figure"), (1, 0, 4, 50, 760, 280, 780, "page 1"),
+    (1, 1, 0, 50, 300, 550, 320, "Under a table"), (1, 1, 1, 60, 50, 550, 100, "In a table"), (2, 0, 0, 50, 10, 100, 20, "Running head 1"), (2, 1, 0, 50, 10, 100, 20, "Running head 2"), (2, 1, 1, 50, 300, 500, 340, "Body of a page without regions"),
+)))
+
+VIEWS = _values("page_index, x0, y0, x1, y1", *(f"{p}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({e} AS DOUBLE)" for p, a, b, c, e in ((0, 0, 0, 612, 792), (1, 612, 0, 0, 792), (2, 5, 5, 5, 5.5), (3, "NULL", "NULL", "NULL", "NULL"), (4, 10, 20, 605, 862))))
+
+SIZES = _values("page_index, width, height", *(f"{p}, CAST({w} AS DOUBLE), CAST({h} AS DOUBLE)" for p, w, h in ((0, 612, 792), (1, 600, 792), (4, 595, 842), (7, 1, 2))))
+
+RESULT_PAGES = _values("doc_id, page_index, page_count, first_start", "1, 0, 5, 0.0", "1, 1, 5, NULL", "2, 0, 0, 0.0", "2, 1, NULL, NULL", "2, 2, 0, 1.5")

@@ -1,10 +1,16 @@
-"""DuckDB SQL of the registered queries, written apart from the Spark operators."""
+"""DuckDB SQL of the registered queries.
+
+Nothing here is taken from the Spark operators; only the inline inputs are shared, and the fixed words and
+patterns are written out again.
+"""
 
 from __future__ import annotations
 
-from readalong.operators.cleaning import SECTIONS
 from readalong.plans import fixtures
 
+#: Headings from which on a document is left out.  Fixed values.
+SECTIONS = ("references?", "bibliography", r"works\s+cited", r"further\s+reading", "acknowledgements?", "appendix", "footnotes?")
+
 
 def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^[\s\x0b\x1c-\x1f\x85]+|[\s\x0b\x1c-\x1f\x85]+$', '', 'g')"
@@ -36,7 +42,7 @@ _LISTS = rf"array_to_string(list_transform({_LINES}, lambda l: CASE WHEN {_ITEM}
 _SPACES = (r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')", r"regexp_replace(t, '[ \t]{2,}', ' ', 'g')", r"regexp_replace(t, '(?m)^\s+$', '', 'g')", _strip("t"))
 _CLEAN = (_CUT, *(s for _, s in _MARKUP), _LISTS, *_SPACES)
 _WRAPPED = (
-    "SELECT doc_id, '# Part ' || doc_id || '⏎⏎---⏎⏎**Note** on `code` and ![pic](a.png) a [link](http://example.org).<br>⏎- first item⏎- second item!⏎⏎' || text || '⏎⏎```⏎x = 1⏎```⏎<i>end</i>  of   it⏎⏎⏎⏎## References⏎[1] left out' AS t FROM documents".replace("⏎", "' || chr(10) || '")
+    "SELECT doc_id, '# Part ' || doc_id || '⏎⏎---⏎⏎**Note** on `code` and ![pic](a.png) a [link](http://example.org).<br>⏎- first item⏎- second item!⏎⏎| Kind | Share |⏎|---|---|⏎| prose | most |⏎⏎' || coalesce(text, '') || '⏎⏎```⏎x = 1⏎```⏎<i>end</i>  of   it⏎⏎⏎⏎## References⏎[1] left out' AS t FROM documents".replace("⏎", "' || chr(10) || '")
 )
 
 
@@ -106,13 +112,43 @@ _FILTERED = f"""SELECT b.doc_id, page_index, pos, txt, CASE
   WHEN c > 0.88 AND words <= 35 THEN 'bottom-margin' END AS drop_reason
 FROM (SELECT *, {_FP} AS fp, {_CENTER} AS c, len(list_filter(string_split_regex(txt, '\\s+'), lambda w: w <> '')) AS words FROM ({fixtures.LINES})) b
 LEFT JOIN ({_repeated(fixtures.LINES)}) r ON r.doc_id = b.doc_id AND r.fp = b.fp"""
-_COLUMNS = f"""cols AS (SELECT doc_id, page_index, CASE WHEN max(gap) > 0.15 * 600 THEN arg_max(x + gap / 2, (gap, x)) END AS split FROM (
-  SELECT doc_id, page_index, x, lead(x) OVER (PARTITION BY doc_id, page_index ORDER BY x) - x AS gap FROM (SELECT DISTINCT doc_id, page_index, round_even(x0, 0) AS x FROM ({fixtures.BLOCKS}))) GROUP BY ALL)"""
+
+
+def _columns(blocks: str) -> str:
+    """CTE ``cols``: where the columns of each page are split, or null."""
+    return f"""cols AS (SELECT doc_id, page_index, CASE WHEN max(gap) > 0.15 * 600 THEN arg_max(x + gap / 2, (gap, x)) END AS split FROM (
+  SELECT doc_id, page_index, x, lead(x) OVER (PARTITION BY doc_id, page_index ORDER BY x) - x AS gap FROM (SELECT DISTINCT doc_id, page_index, round_even(x0, 0) AS x FROM ({blocks}))) GROUP BY ALL)"""
+
+
+def _ordered(blocks: str) -> str:
+    """Reading order of blocks."""
+    return f"WITH {_columns(blocks)} SELECT b.doc_id, b.page_index, b.ordinal, CASE WHEN split IS NULL THEN 1 ELSE 2 END AS n_columns, split, CAST(row_number() OVER (PARTITION BY b.doc_id, b.page_index ORDER BY CASE WHEN split IS NULL OR x0 < split THEN 0 ELSE 1 END, y0, CASE WHEN split IS NULL THEN x0 ELSE 0 END, ordinal) - 1 AS INTEGER) AS reading_pos FROM ({blocks}) b JOIN cols USING (doc_id, page_index)"
+
+
 _ACTIVE = """SELECT p.{by}, p.probe_id, p.t, coalesce(max_by(m.idx, (m.t, m.idx)), -1) AS active FROM probes p LEFT JOIN marks m ON m.{by} = p.{by} AND m.t <= p.t GROUP BY ALL"""
 _PRINTED = f"""{_TURNS}, said AS (SELECT doc_id, unnest(l) AS norm, chunk_index, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, chunk_index, {_tokens('text')} AS l FROM turns)),
 printed AS (SELECT doc_id, norm, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, pos) - 1 AS INTEGER) AS word_idx FROM said)"""
 
 
+def _boxes(chunks: str) -> str:
+    """CTEs that end in ``boxes`` and ``cover`` of token lists ``chunks`` (doc_id, chunk_index, ch) on pages of the turns' words.
+
+    The chunks are made of the same words: all tokens match, and the first place where they stand in a row is the best.
+    """
+    return f"""{_PRINTED},
+ws AS (SELECT doc_id, list(norm ORDER BY word_idx) AS ws FROM printed GROUP BY 1),
+ch AS ({chunks}),
+st AS (SELECT doc_id, chunk_index, ch, unnest(list_filter(range(len(ws) - len(ch) + 1), lambda s: ws[s + 1] = ch[1] AND list_slice(ws, s + 1, s + len(ch)) = ch)) AS s FROM ch JOIN ws USING (doc_id) WHERE len(ch) > 0),
+fs AS (SELECT doc_id, chunk_index, len(any_value(ch)) AS m, min(s) AS s FROM st GROUP BY ALL),
+wi AS (SELECT doc_id, chunk_index, m, unnest(range(s, s + m)) AS k FROM fs),
+boxes AS (SELECT doc_id, chunk_index, CAST(min(k // 40) AS INTEGER) AS page_index, round(min(k % 10 / 10.0), 6) AS nx0, round(min(k % 40 // 10 / 4.0), 6) AS ny0, round(max((k % 10 + 1) / 10.0), 6) AS nx1, round(max((k % 40 // 10 + 1) / 4.0), 6) AS ny1, CAST(1 AS DOUBLE) AS match_score, CAST(any_value(m) AS INTEGER) AS matched_tokens, CAST(any_value(m) AS INTEGER) AS query_tokens FROM wi GROUP BY ALL HAVING count(DISTINCT k // 40) = 1),
+cover AS (SELECT doc_id, count(*) AS n_chunks, count(b.page_index) AS n_mapped, round(count(b.page_index) * 100.0 / count(*), 2) AS coverage FROM ch LEFT JOIN boxes b USING (doc_id, chunk_index) GROUP BY 1)"""
+
+
+_BOXES = "WITH " + _boxes(f"SELECT doc_id, chunk_index, {_tokens('text')} AS ch FROM turns")
+_HIGHLIGHT = "{'chunk_index': chunk_index, 'page_index': page_index, 'nx0': nx0, 'ny0': ny0, 'nx1': nx1, 'ny1': ny1, 'match_score': match_score, 'matched_tokens': matched_tokens, 'query_tokens': query_tokens}"
+
+
 _ALIGN = f"""WITH RECURSIVE {_PRINTED},
 a AS (SELECT doc_id, list(norm ORDER BY word_idx) AS one FROM printed GROUP BY 1),
 ab AS (SELECT doc_id, one, list_filter(one, lambda x, k: (k - 1) % 7 <> 3) AS two FROM a),
@@ -132,7 +168,11 @@ r AS (SELECT chunk_index, start, ch, ws, lim, 1 AS t, start AS j, CAST([] AS BIG
   FROM (SELECT *, coalesce(list_position(list_slice(ws, j + 1, least(j + 7, lim)), ch[t]), 0) AS hit FROM r WHERE t <= len(ch))),
 b AS (SELECT *, row_number() OVER (PARTITION BY chunk_index ORDER BY len(m) DESC, m[-1] - m[1], start) AS rn FROM r WHERE t = len(ch) + 1 AND len(m) > 0)
 SELECT CAST(1 AS BIGINT) AS doc_id, chunk_index, round(len(m) / len(ch), 6) AS score, CAST(m[-1] - m[1] + 1 AS INTEGER) AS span, array_to_string(m, ',') AS matched FROM b WHERE rn = 1 AND len(m) >= least(4, len(ch)) AND len(m) / len(ch) >= 0.33"""
-_TABLES = rf"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {_LINES} AS x FROM (SELECT doc_id, text AS t FROM ({fixtures.TABLES})))),
+
+
+def _tables(source: str) -> str:
+    """(doc_id, text) of ``source`` (doc_id, text) with its tables as sentences."""
+    return rf"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {_LINES} AS x FROM (SELECT doc_id, text AS t FROM ({source})))),
 m AS (SELECT *, regexp_matches(line, '^\s*\|.*\|\s*$') AS tab FROM l),
 i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tab ORDER BY pos) AS island, {_strip(rf"regexp_replace({_strip('line')}, '^\|+|\|+$', '', 'g')")} AS body FROM m),
 c AS (SELECT *, list_transform(string_split(body, '|'), lambda x: {_strip('x')}) AS cells FROM i WHERE tab AND body <> ''),
@@ -149,14 +189,26 @@ o AS (SELECT i.doc_id, i.pos, 1 AS sub, line FROM i LEFT JOIN g ON i.tab AND g.d
 SELECT doc_id, string_agg(line, chr(10) ORDER BY pos, sub) AS text FROM o GROUP BY doc_id"""
 
 
+#: The whole cleaner over documents inside markup, tables included.
+_PLAIN = _chain(_WRAPPED, "doc_id", _CUT, *(s for _, s in _MARKUP))
+_SAID = _tables(f"SELECT doc_id, t AS text FROM ({_PLAIN})")
+_WITH_TABLES = _chain(f"SELECT doc_id, text AS t FROM ({_SAID})", "doc_id", _LISTS, *_SPACES)
+
+
 def oracle_sql() -> dict[str, str]:
     """By query name."""
+    from readalong.plans import service_oracles
+
+    return _own() | service_oracles.oracle_sql()
+
+
+def _own() -> dict[str, str]:
     return {
-        "clean_text": f"SELECT doc_id, t AS clean_text, t = '' AS is_empty FROM ({_chain(_WRAPPED, 'doc_id', *_CLEAN)})",
+        "clean_text": f"SELECT doc_id, t AS clean_text, t = '' AS is_empty FROM ({_WITH_TABLES})",
         "clean_steps": _clean_steps(),
         "truncate_references": f"SELECT doc_id, {_CUT} AS text FROM (SELECT doc_id, text || chr(10) || '### Works  cited' || chr(10) || 'more' || chr(10) || 'Appendix' || chr(10) || 'rest' AS t FROM documents)",
         "strip_html_pages": f"SELECT page_id, t AS text FROM ({_chain('''SELECT page_id, coalesce(html, '') AS t FROM pages''', 'page_id', _MARKUP[8][1], _MARKUP[9][1], *_SPACES)})",
-        "markdown_tables": _TABLES,
+        "markdown_tables": _tables(fixtures.TABLES),
         "list_items": f"SELECT doc_id, {_LISTS} AS text FROM (SELECT doc_id, text AS t FROM ({fixtures.LISTS}))",
         "chunk_text": f"{_DOC_CHUNKS} SELECT * FROM chunks",
         "heading_units": f"{_chunks(fixtures.HEADINGS)} SELECT * FROM chunks",
@@ -170,7 +222,7 @@ SELECT doc_id, CAST(unit AS INTEGER) AS part_index, string_agg(s, ' ' ORDER BY s
         "repeated_margins": f"SELECT *, 'documents' AS origin FROM ({_repeated(_DOC_LINES)}) UNION ALL SELECT *, 'inline' AS origin FROM ({_repeated(fixtures.LINES)})",
         "block_filter": f"SELECT doc_id, page_index, pos, drop_reason, drop_reason IS NULL AS kept FROM ({_FILTERED})",
         "assemble_blocks": f"SELECT doc_id, string_agg(txt, chr(10) || chr(10) ORDER BY page_index, pos) AS text FROM ({_FILTERED}) WHERE drop_reason IS NULL AND trim(txt) <> '' GROUP BY 1",
-        "reading_order": f"WITH {_COLUMNS} SELECT b.doc_id, b.page_index, b.ordinal, CASE WHEN split IS NULL THEN 1 ELSE 2 END AS n_columns, split, CAST(row_number() OVER (PARTITION BY b.doc_id, b.page_index ORDER BY CASE WHEN split IS NULL OR x0 < split THEN 0 ELSE 1 END, y0, CASE WHEN split IS NULL THEN x0 ELSE 0 END, ordinal) - 1 AS INTEGER) AS reading_pos FROM ({fixtures.BLOCKS}) b JOIN cols USING (doc_id, page_index)",
+        "reading_order": _ordered(fixtures.BLOCKS),
         "bbox_overlap": f"SELECT b.doc_id, b.page_index, b.ordinal AS block, r.ordinal AS region, round({_OVERLAP.format(a='b', b='r', least='1e-6')}, 6) AS ratio FROM ({fixtures.BLOCKS}) b JOIN ({fixtures.REGIONS}) r USING (doc_id, page_index)",
         "layout_keep": f"""SELECT doc_id, page_index, ordinal, count(*) FILTER (ratio >= 0.35) AS n_matches, round(max(ratio) FILTER (ratio >= 0.35), 6) AS best_ratio, coalesce(bool_or(keep) FILTER (ratio >= 0.35), false) AS keep
 FROM (SELECT b.doc_id, b.page_index, b.ordinal, r.keep, {_OVERLAP.format(a='b', b='r', least='1e-6')} AS ratio FROM ({fixtures.BLOCKS}) b JOIN ({fixtures.REGIONS}) r USING (doc_id, page_index)) GROUP BY ALL""",
@@ -187,6 +239,12 @@ s AS (SELECT *, CASE WHEN (bx0 + bx1) / 2 < width / 2 - greatest(20, width * 0.0
 t AS (SELECT *, CASE WHEN bool_or(side = 0) OVER p AND bool_or(side = 2) OVER p THEN side ELSE 0 END AS band FROM s WINDOW p AS (PARTITION BY doc_id, page_index))
 SELECT doc_id, page_index, ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, band, by0, bx0, seen, line_no, word_no, ordinal) - 1 AS INTEGER) AS word_idx, norm, {', '.join(f'round(coalesce({c} / nullif({s}, 0), 0), 6) AS n{c}' for c, s in (('x0', 'width'), ('y0', 'height'), ('x1', 'width'), ('y1', 'height')))} FROM t WHERE norm <> ''""",
         "match_chunk": _MATCH,
+        "chunk_highlights": f"{_BOXES} SELECT * FROM boxes",
+        "coverage": f"{_BOXES} SELECT * FROM cover",
+        "highlight_payload": f"""{_BOXES}, h AS (SELECT doc_id, list({_HIGHLIGHT} ORDER BY chunk_index) AS l FROM boxes GROUP BY 1)
+SELECT doc_id, CAST(to_json({{'n_chunks': n_chunks, 'n_mapped': n_mapped, 'coverage': coverage, 'highlights': coalesce(l, [])}}) AS VARCHAR) AS json FROM cover LEFT JOIN h USING (doc_id)""",
+        "polygon_percent": f"{_BOXES} SELECT doc_id, chunk_index, {', '.join(f'round({c} * 100, 4) AS p{k}_{n}' for k, cs in enumerate((('nx0', 'ny0'), ('nx1', 'ny0'), ('nx1', 'ny1'), ('nx0', 'ny1'))) for c, n in zip(cs, 'xy', strict=True))} FROM boxes",
+        "wav_duration": "SELECT * FROM (VALUES ('a.wav', CAST(1 AS DOUBLE)), ('b.wav', 0.5), ('c.wav', 0), ('d.wav', 0), ('e.wav', 0)) AS t(path, seconds)",
         "word_alignment": _ALIGN,
         "words_in_blocks": f"""WITH m AS (SELECT w.*, b.ordinal AS block_pos, row_number() OVER (PARTITION BY w.doc_id, w.page_index, w.ordinal ORDER BY b.ordinal) AS rn FROM ({fixtures.WORDS}) w JOIN ({fixtures.REGIONS}) b ON w.doc_id = b.doc_id AND w.page_index = b.page_index AND {_OVERLAP.format(a='w', b='b', least='1.0')} >= 0.5)
 SELECT doc_id, page_index, ordinal, block_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, block_pos, block_no, line_no, word_no, y0, x0, ordinal) - 1 AS INTEGER) AS word_idx FROM m WHERE rn = 1""",

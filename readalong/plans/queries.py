@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readalong.functions import text as tx
 from readalong.operators import alignment, chunking, cleaning, layout, playback, tables, timeline
 from readalong.plans import fixtures
 from readalong.sources import io
+from readalong.sources.shared import shared_folder
 from readalong.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +29,8 @@ _documents, _pages, _conversations, _events, _benchmark = (_table(n) for n in ("
 
 def marked_up(docs: DataFrame) -> DataFrame:
     """Documents inside markup of every kind, as the plain texts hold hardly any."""
-    parts = [F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n\n---\n\n**Note** on `code` and ![pic](a.png) a [link](http://example.org).<br>\n- first item\n- second item!\n\n"), F.col("text"), F.lit("\n\n```\nx = 1\n```\n<i>end</i>  of   it\n\n\n\n## References\n[1] left out")]
+    before = "\n\n---\n\n**Note** on `code` and ![pic](a.png) a [link](http://example.org).<br>\n- first item\n- second item!\n\n| Kind | Share |\n|---|---|\n| prose | most |\n\n"
+    parts = [F.lit("# Part "), F.col("doc_id").cast("string"), F.lit(before), F.coalesce("text", F.lit("")), F.lit("\n\n```\nx = 1\n```\n<i>end</i>  of   it\n\n\n\n## References\n[1] left out")]
     return docs.select("doc_id", F.concat(*parts).alias("text"))
 
 
@@ -202,24 +205,32 @@ def match_passages(spark, sf_dir):
     return _matched(alignment.match_passages(passages, own(_documents(spark, sf_dir), "doc_id").withColumnRenamed("tokens", "words")), "item_id")
 
 
-def _printed(spark, sf_dir):
+def in_order(by: str, *order: str):
+    """A window over the rows of each ``by`` in order."""
+    return Window.partitionBy(by).orderBy(*order)
+
+
+def printed_words(spark, sf_dir):
     """Words of all turns in order, forty to a page, ten to a line, as an extractor would give them."""
     turns = _conversations(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(tx.tokens(F.coalesce("text", F.lit("")))).alias("pos", "norm"))
-    from pyspark.sql import Window
-
-    words = turns.withColumn("word_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "pos")) - 1)
+    words = turns.withColumn("word_idx", F.row_number().over(in_order("doc_id", "turn", "pos")) - 1)
     k = F.col("word_idx")
     line, column = F.floor(k % 40 / 10), k % 10
     return words.withColumns({"page_index": F.floor(k / 40).cast("int"), "nx0": column / 10.0, "ny0": line / 4.0, "nx1": (column + 1) / 10.0, "ny1": (line + 1) / 4.0})
 
 
 def _highlights(spark, sf_dir):
-    printed = _printed(spark, sf_dir)
-    arrays = printed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "norm"))), lambda x: x["norm"]).alias("words"))
+    printed = printed_words(spark, sf_dir)
+    arrays = alignment.word_arrays(printed)
     chunks = _conversations(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), tx.tokens(F.coalesce("text", F.lit(""))).alias("chunk"))
     return chunks, alignment.highlights(alignment.match_chunks(chunks, arrays), printed)
 
 
+def highlight_boxes(spark, sf_dir) -> DataFrame:
+    """Boxes of conversation turns."""
+    return _highlights(spark, sf_dir)[1]
+
+
 def chunk_highlights(spark, sf_dir):
     """Boxes of conversation turns on pages made of their words."""
     found = _highlights(spark, sf_dir)[1]
@@ -240,7 +251,7 @@ def highlight_payload(spark, sf_dir):
 
 def word_alignment(spark, sf_dir):
     """Conversation words aligned with a copy that lacks every seventh word."""
-    arrays = _printed(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "norm"))), lambda x: x["norm"]).alias("tokens"))
+    arrays = alignment.word_arrays(printed_words(spark, sf_dir)).withColumnRenamed("words", "tokens")
     fewer = arrays.withColumn("tokens", F.filter("tokens", lambda t, i: i % 7 != 3))
     found = alignment.align_words(arrays, fewer)
     sizes = arrays.select("doc_id", F.size("tokens").cast("long").alias("n_words"))
@@ -364,16 +375,11 @@ def extract_summary(spark, sf_dir):
 
 def stream_pages(spark, sf_dir):
     """Chunk counts of documents read as a stream, file by file."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    import uuid
-
-    base = f"{base}/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/readalong/pages-{uuid.uuid4().hex[:12]}"
     source = _documents(spark, sf_dir)
     source.repartition(4, "doc_id").write.parquet(f"{base}/in")
     jobs.process_stream(spark, f"{base}/in", source.schema, chunking.chunk_documents, f"{base}/out", f"{base}/state", 2)
-    return spark.read.parquet(f"{base}/out").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return spark.read.parquet(f"{base}/out/rows").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
 
 ALL: tuple[Query, ...] = (
@@ -386,4 +392,6 @@ ALL: tuple[Query, ...] = (
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {q.__name__: q for q in ALL}
+    from readalong.plans import service
+
+    return {q.__name__: q for q in (*ALL, *service.ALL)}

@@ -14,12 +14,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readalong.functions.text import metadata_path, strip
+from readalong.functions.text import metadata_path, safe_filename, strip
 
 #: Chunk timing as it is exchanged.
 CHUNK_TIMING = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())])
 
 
+def resolved_sources(requests: DataFrame, known: DataFrame, root: str) -> DataFrame:
+    """(request_id, status, detail, path) of requests (request_id, pdf_path, upload): 200, 400 or 404.
+
+    Exactly one of path and upload counts as given, an empty one as none.  Relative paths resolve under
+    ``root`` and must be among the paths of ``known``; an upload gets a safe name under ``root``/uploads.
+    """
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    absolute = F.when(F.col("pdf_path").startswith("/"), F.col("pdf_path")).otherwise(F.concat(F.lit(f"{root}/"), "pdf_path"))
+    asked = requests.withColumn("path", F.when(given("pdf_path"), absolute))
+    there = known.select(F.col("path").alias("there")).distinct()
+    found = asked.join(there, F.col("path") == F.col("there"), "left")
+    one = given("pdf_path") != given("upload")
+    missing = one & given("pdf_path") & F.col("there").isNull()
+    target = F.concat(F.lit(f"{root}/uploads/"), safe_filename(F.col("upload"), F.lit("upload.pdf")))
+    status = F.when(~one, 400).when(missing, 404).otherwise(200)
+    detail = F.when(~one, "Provide exactly one of 'pdf_path' or 'file'.").when(missing, F.concat(F.lit("PDF not found: "), "path"))
+    return found.select("request_id", status.alias("status"), detail.alias("detail"), F.when(status == 200, F.coalesce("path", target)).alias("path"))
+
+
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8, or as Latin-1 where they are not."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
@@ -27,7 +46,7 @@ def decoded(content: Column) -> Column:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc_key, path, text, is_blank, metadata_path) of every file below ``path``; the key is a hash of the content."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     texts = files.select(F.sha2("content", 256).alias("doc_key"), "path", decoded(F.col("content")).alias("text"))
     return texts.withColumn("is_blank", strip(F.col("text")) == "").withColumn("metadata_path", metadata_path(F.col("path")))
 
@@ -75,9 +94,12 @@ def chunk_key(stem: Column, index: Column) -> Column:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """One row for each chunk, partitioned by a hash of the document so that folders stay few."""
+    """One row for each chunk, partitioned by a hash of the document so that folders stay few.
+
+    What stands at ``path`` is an error; every run writes to a folder of its own.
+    """
     keyed = chunks.withColumn("chunk_key", chunk_key(F.col("doc_id").cast("string"), F.col("chunk_index"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    keyed.write.mode("overwrite").partitionBy("part").parquet(path)
+    keyed.repartition("part").write.partitionBy("part").parquet(path)
 
 
 def merge_manifest(files: DataFrame) -> DataFrame:
@@ -87,6 +109,19 @@ def merge_manifest(files: DataFrame) -> DataFrame:
     return files.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("manifest"))
 
 
+def guarded_merge(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, manifest, error) of every job (doc_id): the manifest of its files, or why there is none."""
+    found = jobs.join(merge_manifest(files), "doc_id", "left")
+    return found.select("doc_id", "manifest", F.when(F.col("manifest").isNull(), "No audio files to merge.").alias("error"))
+
+
+def alignment_payload(aligned: DataFrame) -> DataFrame:
+    """(doc_id, json) of (doc_id, timing_source, spoken_word_count, pdf_word_count, words): counts, coverage in percent, and the words."""
+    n = F.size("words")
+    coverage = F.coalesce(F.round(F.try_divide(n * F.lit(100.0), F.col("spoken_word_count")), 2), F.lit(0.0))
+    return aligned.select("doc_id", F.to_json(F.struct("timing_source", "spoken_word_count", "pdf_word_count", n.alias("aligned_word_count"), coverage.alias("coverage"), "words")).alias("json"))
+
+
 def payload(found: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, json): counts, coverage and highlights of each document as one JSON text."""
     boxes = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "page_index", "nx0", "ny0", "nx1", "ny1", "match_score", "matched_tokens", "query_tokens"))).alias("highlights"))
