@@ -2,13 +2,12 @@
 
 Staging: an operator that reads an intermediate result more than once writes it as Parquet below the
 folder in ``spark.checkpoint.dir`` (shared by driver and executors) and reads it again, which also cuts
-lineage.  Where that setting is absent (tests, local use) a folder of our own is set.
+lineage.  Where that setting is absent a local session has a folder of its own; a cluster gets an error.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readalong.sources.shared import shared_folder
+
 #: Text bytes handled at once by a Python worker; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -37,27 +38,38 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder; it goes when the session's JVM ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("readalong.shared.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="readalong-")
-        spark.conf.set("readalong.shared.dir", base)
-    path = f"{base.rstrip('/')}/readalong/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+def _made(spark: SparkSession, path: str):
+    """A folder that is there, as Spark's file system and its name for it."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop_path)
+    return fs, hadoop_path
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder; it goes when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/readalong/{name}-{uuid.uuid4().hex[:12]}"
+    fs, hadoop_path = _made(spark, path)
     fs.deleteOnExit(hadoop_path)
     return path
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there, by Spark's own file systems."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+def lasting_dir(spark: SparkSession, name: str) -> str:
+    """A folder below the shared folder that stays when the session ends."""
+    path = f"{shared_folder(spark)}/readalong/{name}"
+    _made(spark, path)
+    return path
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder whose writing was finished, by Spark's own file systems; none if it isn't there."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = fs_path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [f.getPath() for f in fs.listStatus(folder) if f.isDirectory()]
+    return [p.toString() for p in found if fs.exists(fs_path(p, "_SUCCESS"))]
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

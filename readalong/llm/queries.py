@@ -26,10 +26,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document by piece_bpe_32k.model."""
+    """Tokens of every document by piece_bpe_32k.model, through a cache that lasts in the shared folder."""
+    from readalong.llm.common import lasting_dir
     from readalong.llm.token_counts import count_tokens
 
-    counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    cache = lasting_dir(spark, "token-counts")
+    counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
