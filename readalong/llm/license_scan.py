@@ -8,8 +8,10 @@ has.  At each origin the template's mandatory key phrases are verified word by w
 give their label, and the file's score is the highest share of a verified template's rarity that stands
 at its relative position.
 
-All of a file's work is in its own row: no file is joined with another, and nothing but the word counts
-of the fixed template vocabulary (bounded by the templates) leaves the executors.
+All of a file's work is in its own row: no file is joined with another.  A file's words are read once; the
+places of its template words are stored, the corpus is counted and the templates are verified from there.
+Nothing but the word counts of the fixed template vocabulary (bounded by the templates) leaves the
+executors.
 """
 
 from __future__ import annotations
@@ -20,12 +22,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readalong.llm.common import text_of
+from readalong.functions.text import let
+from readalong.llm.common import staged, text_of
 
 #: Words: runs of ASCII letters and digits and of all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words where A-Z are not in lower case yet.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base labels: every place where the phrase's words stand consecutively counts.
@@ -83,20 +84,12 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Data
 
     Returns id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``places``
     (label, first word, matched share of each verified template).  A null text is an empty one: no words,
-    no labels, score 0.  Rows may repeat; ids play no part.  Extra columns are ignored.
+    no labels, score 0.  Rows may repeat; ids play no part.  A text may have any length; an empty table gives
+    no rows.  Extra columns are ignored.
     """
     body = docs.select(docs[id_column].alias("id"), text_of(docs, text).alias("t"))
-    n_files, frequency = _corpus_counts(body)
+    files, n_files, frequency = _read(body)
     idf = {w: math.log((n_files + 1) / (frequency.get(w, 0) + 1)) + 1 for w in _looked_up()}
-
-    vocabulary = _vocabulary()
-    lowered = F.lower("t")
-    may_hold = reduce(lambda a, b: a | b, [lowered.contains(x) for x in GATES])
-    words = F.regexp_extract_all(F.translate("t", UPPER, LOWER), F.lit(WORD), F.lit(0))
-    files = body.select("id", F.regexp_count("t", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(may_hold, words).alias("words"))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda h: h["w"].isin(vocabulary))
-    files = files.withColumn("hits", F.when(F.col("words").isNotNull(), hits))
-    # from here on only rows that hold a licence word have arrays to go through
     at = lambda w: F.transform(F.filter("hits", lambda h: h["w"] == w), lambda h: h["p"])
 
     def base(phrase: str) -> Column:
@@ -128,15 +121,19 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Data
             for phrase in phrases:
                 sub = phrase.split()
                 i = _place(parts, sub)
-                checks.append(F.when(at + i >= 0, F.slice("words", F.greatest(at + i, F.lit(0)) + 1, len(sub)) == _strings(sub)).otherwise(False))
+                standing = F.filter("hits", lambda h: (h["p"] >= at + i) & (h["p"] < at + i + len(sub)))
+                checks.append(F.transform(standing, lambda h: h["w"]) == _strings(sub))
             return reduce(lambda a, b: a & b, checks)
 
         total = sum(idf.get(w, 0.0) for w in parts)
         found = F.filter("origins", lambda o: (o["k"] == k) & holds(o["at"]))
 
         def share(o: Column) -> Column:
-            got = [F.when((o["at"] + i >= 0) & (F.get(F.col("words"), F.greatest(o["at"] + i, F.lit(0))) == w), F.lit(idf[w])).otherwise(0.0) for i, w in enumerate(parts) if w in idf]
-            return F.round(reduce(lambda a, b: a + b, got) / F.lit(total), 6)
+            standing = F.filter("hits", lambda h: (h["p"] >= o["at"]) & (h["p"] < o["at"] + len(parts)))
+            right = F.filter(standing, lambda h: F.get(_strings(parts), h["p"] - o["at"]) == h["w"])
+            weight = F.array(*[F.lit(idf.get(w, 0.0)) for w in parts])
+            got = F.aggregate(right, F.lit(0.0), lambda s, h: s + F.get(weight, h["p"] - o["at"]))
+            return F.round(got / F.lit(total), 6)
 
         return F.transform(found, lambda o: F.struct(F.lit(label).alias("label"), o["at"].alias("first_word"), share(o).alias("score")))
 
@@ -156,11 +153,21 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Data
     )
 
 
-def _corpus_counts(body: DataFrame) -> tuple[int, dict[str, int]]:
-    """Files, and in how many of them each looked-up word stands; at most one row for each such word comes back."""
-    # lower() also maps a few characters beyond ASCII to letters; those change the byte length
-    sought = F.filter(F.regexp_extract_all("t", F.lit(RAW_WORD), F.lit(0)), lambda w: F.lower(w).isin(_looked_up()) & (F.octet_length(w) == F.octet_length(F.lower(w))))
-    held = F.array_distinct(F.transform(sought, F.lower))
-    rows = body.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+def _read(body: DataFrame) -> tuple[DataFrame, int, dict[str, int]]:
+    """(stored files, how many, in how many of them each looked-up word stands).
+
+    A file is read once: id, number of words, and, where one of the GATES stands, the places of all template
+    words (else none).  The counts go over all files; at most one row for each word comes back.
+    """
+    words = F.regexp_extract_all(F.translate("t", UPPER, LOWER), F.lit(WORD), F.lit(0))
+    may_hold = reduce(lambda a, b: a | b, [F.lower("t").contains(x) for x in GATES])
+
+    def of_words(ws: Column) -> Column:
+        hits = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda h: h["w"].isin(_vocabulary()))
+        held = F.array_distinct(F.filter(ws, lambda w: w.isin(_looked_up())))
+        return F.struct(F.size(ws).cast("long").alias("n_words"), held.alias("held"), F.when(may_hold, hits).otherwise(F.array().cast("array<struct<p:int,w:string>>")).alias("hits"))
+
+    files, _ = staged(body.select("id", let(words, of_words).alias("f")).select("id", "f.*"), "files")
+    rows = files.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     counts = {r["w"]: r["n"] for r in rows}
-    return counts.pop("", 0), counts
+    return files, counts.pop("", 0), counts
