@@ -2,8 +2,9 @@
 
 A text is brought to a canonical form (Unicode NFKC, case folding, white space as single spaces) and gets a
 128-bit xxhash of its UTF-8 bytes.  Documents with equal digests form a bucket, and inside a bucket the
-canonical bytes are compared; a bucket that holds different bytes gets longer fingerprints.  Fingerprints are
-exact: the likeness of two is 1 if the canonical bytes are equal, else 0.
+canonical bytes are compared; a bucket that holds different bytes gets longer fingerprints.  Edited texts,
+which are not kept, are compared with the documents and with each other by the SHA-256 of their canonical
+bytes.  Fingerprints are exact: the likeness of two is 1 if the canonical bytes are equal, else 0.
 
 Documents are also compared with the next one by doc_id.  Range partitions are sorted and read in one pass;
 the few rows at their ends, two for each partition, are matched afterwards.
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readalong.llm.common import arrow_map, slices, staged, text_of
-from readalong.llm.spans import NULL_ID, buckets
+from readalong.llm.spans import NULL_ID, layout
 
 PAIRED, LAST, FIRST = 0, 1, 2
+#: A digest is heavy if more than one row in so many has it; fewer digests than this can be.
+HEAVY = 1000
 _ROWS = pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("id", pa.int64()), ("tk", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("wide", pa.binary()), ("edited_digest", pa.string()), ("edited_wide", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
 _SQL = "kind int, pid int, id long, tk long, n_chars long, edited_sha256 string, digest string, wide binary, edited_digest string, edited_wide binary, near_edited double, near_next double, text string"
 
@@ -97,16 +100,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The next document is the next row by doc_id, then by a hash of the text; null ids come first, and the
-    last row is followed by the first (a single row by itself).  Null texts are empty; all texts without
+    last row is followed by the first (a single row by itself); rows that repeat both follow each other.  Null texts are empty; all texts without
     anything but white space share one fingerprint.  Extra columns are ignored; an empty table gives no
     rows.
     """
     spark = docs.sparkSession
-    n = buckets(docs)
+    n = layout(docs).partitions
     text = text_of(docs)
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     found, _ = staged(arrow_map(rows.repartitionByRange(n, "id", "tk").sortWithinPartitions("id", "tk"), _neighbours, _SQL), "neighbours")
-    # two rows for each partition, so neither this list nor the join grows with the documents
+    # one number for each partition, of which there are MOST_PARTITIONS at most
     used = sorted(r["pid"] for r in found.filter(F.col("kind") == FIRST).select("pid").collect())
     after = spark.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "pid int, next_pid int")
     last = found.filter(F.col("kind") == LAST).join(after, "pid").select("id", "tk", "text", "next_pid")
@@ -114,12 +117,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     done = found.filter(F.col("kind") == PAIRED).unionAll(arrow_map(last.join(first, "next_pid").select("id", "tk", "text", "following"), _ends, _SQL)).drop("kind", "pid", "text")
     done, _ = staged(done, "digests")
 
-    # byte comparison inside buckets of equal digests
-    shared = done.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    members = done.select("id", "tk", "digest").join(shared, "digest").select(F.col("id").alias("m_id"), F.col("tk").alias("m_tk"), "digest").distinct()
+    # byte comparison inside buckets of equal digests; those of heavy ones are found where they are, the others meet by digest
+    total = done.count()
+    shared, _ = staged(done.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    heavy = F.broadcast(shared.filter(F.col("n") * HEAVY > total).select("digest"))
+    light = shared.filter(F.col("n") * HEAVY <= total).select("digest")
+    narrow = done.select("id", "tk", "digest")
+    members = narrow.join(heavy, "digest", "left_semi").unionAll(narrow.join(heavy, "digest", "left_anti").join(light, "digest", "left_semi"))
+    members = members.select(F.col("id").alias("m_id"), F.col("tk").alias("m_tk"), "digest").distinct()
     texts = rows.join(members.hint("shuffle_hash"), (F.col("id") == F.col("m_id")) & (F.col("tk") == F.col("m_tk"))).select("digest", "text")
     forms = arrow_map(texts, _forms, "digest string, form binary")
-    mixed, _ = staged(forms.groupBy("digest").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo <> hi").select("digest"), "collisions")
+    wide = done.select("digest", F.col("wide").alias("form")).unionAll(done.select("edited_digest", "edited_wide"))
+    differing = [x.groupBy("digest").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo <> hi").select("digest") for x in (forms, wide)]
+    mixed, _ = staged(differing[0].unionAll(differing[1]).distinct(), "collisions")
     fingerprint, other = F.col("digest"), F.col("edited_digest")
     if mixed.limit(1).count():
         done = done.join(mixed.withColumn("c1", F.lit(True)), "digest", "left").join(mixed.select(F.col("digest").alias("edited_digest"), F.lit(True).alias("c2")), "edited_digest", "left")

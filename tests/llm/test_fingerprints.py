@@ -21,8 +21,9 @@ def expected(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("rows", [TEXTS, TEXTS[:1], TEXTS[:2], []])
-def test_fingerprints(spark, rows):
+@pytest.mark.parametrize(("rows", "heavy"), [(TEXTS, 1000), (TEXTS * 3, 4), (TEXTS[:1], 1), (TEXTS[:2], 1000), ([], 1)])
+def test_fingerprints(spark, rows, heavy, monkeypatch):
+    monkeypatch.setattr(fp, "HEAVY", heavy)
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, digest string").repartition(3)
     found = fp.fingerprints(docs).collect()
     assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in found) == expected(rows)
