@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ FAMILIES = {
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
     "uralic": ("et", "fi", "hu"),
 }
-#: Rows of training text for each language, about; the sample is drawn by a hash of doc_id.
+#: Rows of training text for each language, about; the sample is drawn by a hash of doc_id and text.
 SAMPLE_PER_LANG = 500
+#: Languages that are learned, the most frequent ones: this bounds the machines and what reaches the driver.
+MOST_LANGS = 200
 #: Size of the feature tables, a power of two.
 BUCKETS = 4096
 #: Shares are small; this factor brings them to the scale of the bias.
@@ -60,15 +63,15 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
 
     lowered = pc.utf8_lower(texts)
-    framed = pc.binary_join_element_wise(pa.scalar("   ", lowered.type), lowered, pa.scalar(" ", lowered.type), pa.scalar("", lowered.type))
+    framed = pc.binary_join_element_wise(pa.scalar("    ", lowered.type), lowered, pa.scalar(" ", lowered.type), pa.scalar("", lowered.type))
     raw, off = buffers(framed)
     folded = _FOLD[raw]
-    # the three spaces in front of each text keep its grams apart from those of the text before
+    # four spaces in front of each text: its grams start at the last of them, so none reaches into the text before
     space = folded == 32
     keep = np.ones(len(folded), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     starts = off[:-1]
-    for k in range(3):
+    for k in range(4):
         keep[starts + k] = True
     kept = np.flatnonzero(keep)
     new_off = np.searchsorted(kept, off)
@@ -81,7 +84,10 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shift = np.uint32(32 - (BUCKETS // 2).bit_length() + 1)
     a = (three * np.uint32(2654435769)) >> shift
     b = ((four * np.uint32(2246822519)) >> shift) + np.uint32(BUCKETS // 2)
-    return a, b, new_off
+    own = np.ones(len(a), bool)
+    for k in range(3):
+        own[new_off[:-1] + k] = False
+    return a[own], b[own], new_off - 3 * np.arange(len(new_off))
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -185,31 +191,46 @@ class Model:
         return list(out), np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
+def drawn(most: int, n, *columns: str):
+    """Whether a row is among about ``most`` of ``n``, by a hash of ``columns``; exact for any n below 2**53."""
+    return F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(2**53)) < F.lit(float(most)) / n * F.lit(float(2**53))
+
+
+def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, most_langs: int = MOST_LANGS) -> Model | None:
     """Learn from (doc_id, text, lang); None if no row has a language.
 
-    About ``per_lang`` rows of each language are drawn by a hash of doc_id, or all where there are fewer;
-    that is the bound on what reaches the driver (BUCKETS floats a row).
+    About ``per_lang`` rows of each of the ``most_langs`` most frequent languages are drawn by a hash, or all
+    where there are fewer, and a row that repeats is drawn once; that is the bound on what reaches the driver
+    (BUCKETS floats a row).  A language of which nothing was drawn, as its rows repeat so often, gives its
+    least row by that hash.  Null texts are empty, texts may have any length, and ties of counts go by name.
     """
     tune(docs.sparkSession)
-    docs = docs.select("doc_id", text_of(docs).alias("text"), "lang").filter("lang is not null and doc_id is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    docs = docs.select("doc_id", text_of(docs).alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null").withColumn("tk", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
-    rate = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(int(min(1.0, per_lang / n) * 1_000_000)))])
-    sample = docs.filter(drawn < rate[F.col("lang")])
-    rows = arrow_map(sample.select("lang", "text"), _vectors, "lang string, vector binary").collect()
-    if not rows:
-        return None
-    x = np.stack([np.frombuffer(r["vector"], "<f4") for r in rows]).astype(np.float64) * SCALE
-    return Model([r["lang"] for r in rows], x)
+    n = F.create_map(*[F.lit(v) for lang, rows in counts.items() for v in (lang, float(rows))])[F.col("lang")]
+
+    def vectors(sample: DataFrame) -> list[tuple[str, bytes]]:
+        rows = arrow_map(sample.dropDuplicates(["lang", "doc_id", "tk"]).select("lang", "text"), _vectors, "lang string, vector binary").collect()
+        return [(r["lang"], r["vector"]) for r in rows]
+
+    rows = vectors(docs.filter(n.isNotNull() & drawn(per_lang, n, "doc_id", "tk")))
+    if missing := sorted(set(counts) - {lang for lang, _ in rows}):
+        own = docs.filter(F.col("lang").isin(missing))
+        least = own.groupBy("lang").agg(F.min_by(F.struct("doc_id", "tk"), F.xxhash64("doc_id", "tk", F.lit(7))).alias("k")).collect()
+        same = reduce(lambda a, b: a | b, [(F.col("lang") == r["lang"]) & (F.col("doc_id") == r["k"]["doc_id"]) & (F.col("tk") == r["k"]["tk"]) for r in least])
+        rows += vectors(own.filter(same))
+    rows.sort()  # the same model whatever order the tasks ended in
+    x = np.stack([np.frombuffer(v, "<f4") for _, v in rows]).astype(np.float64) * SCALE
+    return Model([lang for lang, _ in rows], x)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row: ``und`` and 0 where the text is null or has no letter, or nothing was learned.
 
-    Rows may repeat and ids may be null; extra columns are ignored.
+    Rows may repeat and ids may be null; texts may have any length; extra columns are ignored; an empty
+    table gives no rows.  Of languages with equal votes the first by name is taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

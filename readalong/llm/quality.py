@@ -169,14 +169,17 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); None without labels.
 
-    About ``sample_rows`` labels are drawn by a hash of doc_id; the drawn labels, bounded by that, are
-    sent to every executor.  Null ids or labels are left out; a label without document is ignored.
+    About ``sample_rows`` labels are drawn by a hash of doc_id; the drawn labels, bounded by that as a label
+    that repeats counts once, are sent to every executor.  Of the documents that share an id and a text one
+    is learned from.  Null ids or labels are left out; a label without document is ignored; a null text is an
+    empty one; texts may have any length.
     """
     tune(docs.sparkSession)
-    labels = labels.filter("doc_id is not null and label is not null").select(F.col("doc_id").alias("labelled"), F.col("label").cast("int").alias("label"))
-    n = labels.count()
-    drawn = F.pmod(F.xxhash64("labelled", F.lit(11)), F.lit(1_000_000)) < F.lit(int(min(1.0, sample_rows / max(1, n)) * 1_000_000))
-    joined = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(labels.filter(drawn)), F.col("doc_id") == F.col("labelled"))
+    labels = labels.filter("doc_id is not null and label is not null").select(F.col("doc_id").alias("labelled"), F.col("label").cast("int").alias("label")).distinct()
+    n = max(1, labels.count())
+    sample = labels.filter(F.pmod(F.xxhash64("labelled", F.lit(11)), F.lit(2**53)) < F.lit(min(1.0, sample_rows / n) * 2.0**53))
+    joined = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
+    joined = joined.withColumn("tk", F.xxhash64("text")).dropDuplicates(["doc_id", "label", "tk"])
     rows = arrow_map(joined.select("label", "text"), _feature_rows, "label int, x binary").collect()
     if not rows:
         return None
@@ -187,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row, and its score in 0 to 1; 0.5 if nothing was learned.
 
-    A null text is an empty one, which has a score too.  Rows may repeat; other columns are ignored.
+    A null text is an empty one, which has a score too.  Rows may repeat, and equal texts have equal scores;
+    texts may have any length; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
