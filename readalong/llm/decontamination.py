@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from readalong.llm.common import arrow_map, slices, text_of
 
@@ -139,7 +140,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
     n = math.ceil(total / BLOCK_BYTES)
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
-        block = sorted(((r["item_id"], folded(r["text"])) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        block = sorted(((r["item_id"], folded(r["text"])) for r in rows), key=lambda x: (x[0] is not None, str(x[0]), x[1]))
         if block := [x for x in block if x[1]]:
             yield block
 
@@ -148,12 +149,15 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, budget, item_chars, end_char): every benchmark item that stands in a document.
 
     ``end_char`` is where its best match ends in the folded text.  An item of fewer than LEAST_CHARS
-    characters stands where it is unchanged between word boundaries.  Null and empty texts match nothing; a document row that repeats gives its rows again; an item that repeats gives one row.  Extra columns
-    are ignored; an empty table gives no rows.
+    characters stands where it is unchanged between word boundaries.  Null and empty texts match nothing; a
+    document row that repeats gives its rows again; an item that repeats gives one row.  Ids may be null and
+    of any atomic type; items that share an id are matched each for itself.  Texts may have any length.
+    Extra columns are ignored; an empty table gives no rows.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, budget int, item_chars int, end_char long"
     source = docs.select("doc_id", text_of(docs).alias("text"))
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items):
 
@@ -166,7 +170,6 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                         for column, value in zip(rows, (key, block[k][0], edits, matcher.edits[k], len(block[k][1]), end), strict=True):
                             column.append(value)
                 if rows[0]:
-                    item_type = pa.string() if kinds[1] == "string" else pa.int64() if kinds[1] == "bigint" else pa.int32()
                     yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.column("doc_id").type), pa.array(rows[1], item_type), *[pa.array(c, pa.int32()) for c in rows[2:5]], pa.array(rows[5], pa.int64())], ["doc_id", "item_id", "edits", "budget", "item_chars", "end_char"])
 
         out = out.unionAll(arrow_map(source, run, schema))
