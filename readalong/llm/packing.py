@@ -172,12 +172,16 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end: i
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a bin and the weight of each residual."""
+    """Capacities of a bin and the weight of each residual.
+
+    By default only the tokens can bind: 1024 tokens hold at most 1024 pieces, and the sum of the squared
+    lengths is at most the square of their sum.  The other two then only choose among bins that fit.
+    """
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     rule: str = "norm"  # or "dot"
 
 
@@ -254,12 +258,13 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), order: tuple[str, ...] =
     return arrow_map(ranked, look_up, f"{schema}, sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end: int = 2) -> DataFrame:  # noqa: B008
+def packed_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end: int = 2, keep_ids: bool = False) -> DataFrame:  # noqa: B008
     """Tokenise ``docs`` (doc_id, text) once and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts are empty, rows and ids may repeat or be null, extra columns are ignored; an empty table
-    gives an empty result.
+    With ``keep_ids`` also ``ids``, the piece's ids as little-endian unsigned 32-bit numbers.  Null texts are
+    empty, rows and ids may repeat or be null, texts may have any length, extra columns are ignored; an empty
+    table gives an empty result.
     """
-    pieces = tokenised(docs, tokenizer_path, limits.tokens, end).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    pieces, _ = staged(pieces, "pieces")
+    pieces = tokenised(docs, tokenizer_path, limits.tokens, end).withColumn("ids_crc32", F.crc32("ids"))
+    pieces, _ = staged(pieces if keep_ids else pieces.drop("ids"), "pieces")
     return pack(pieces, limits, ("doc_id", "piece", "start", "ids_crc32"))
