@@ -128,6 +128,31 @@ def test_packing_constraints():
             assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
 
 
+def test_packing_weights_choose_bins():
+    r = random.Random(1)
+    lengths = [r.randint(20, 700) for _ in range(400)]
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    least = -(-sum(lengths) // 1024)
+    plans = []
+    for weights in ((1.0, 0.0, 0.0), packing.Limits().weights, (1.0, 5.0, 5.0)):
+        found = packing.plan(counts, packing.Limits(weights=weights))
+        plans.append(found.tolist())
+        assert int((found[:, 3] + (found[:, 2] - 1) // np.maximum(found[:, 4], 1)).max()) + 1 <= least + 2
+    assert plans[0] != plans[1]
+    few = packing.plan(counts, packing.Limits(documents=2))
+    assert int((few[:, 3] + (few[:, 2] - 1) // np.maximum(few[:, 4], 1)).max()) + 1 >= 200
+
+
+def test_ids_equal_the_library_on_whole_documents(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, own = Tokenizer.from_file(path), packing.Encoder(path, 2)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == [*model.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -140,19 +165,31 @@ def test_encoder_equals_the_library():
         assert ids.tolist() == [*model.encode(text, add_special_tokens=False).ids, 2], text
 
 
-def test_token_counts(docs, rows, tmp_path):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_token_counts(docs, rows, tmp_path, monkeypatch, few):
     import sentencepiece
 
+    monkeypatch.setattr(token_counts, "FEW", few)
+    monkeypatch.setattr(token_counts, "HEAVY", 20)  # the text that stands most often counts as heavy
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     expected = sorted((i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in rows)
     cache = f"file://{tmp_path}/cache"
-    for _ in range(2):  # the second time all counts are stored
+    for _ in range(2):
         assert collected(token_counts.count_tokens(docs, path, cache), "doc_id", "n_bytes", "n_tokens") == expected
-    stored = docs.sparkSession.read.parquet(cache)
+    assert len(list((tmp_path / "cache").iterdir())) == 1  # the second time all counts are stored: nothing is encoded
+    stored = docs.sparkSession.read.parquet(f"{cache}/run-*")
     assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t in rows})
 
 
+def test_warm_token_counts_move_no_text(spark, docs, tmp_path):
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"
+    token_counts.count_tokens(docs, path, cache).count()
+    plan = token_counts.count_tokens(docs, path, cache)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and not any("text" in line for line in exchanged)
+
+
 def levenshtein_in(item, text):
     """Least edit distance of item to any part of text."""
     row = [0] * (len(text) + 1)
@@ -266,6 +303,72 @@ def test_language_id_without_letters(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
+def plain_margins(model, text):
+    """Decisions of a language model's machines, by a walk over the text's bytes."""
+    low = text.lower().encode()
+    letters = "".join(chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in low)
+    body = re.sub(" +", " ", letters).strip(" ").encode("latin-1")
+    framed = b"    " + body + b" " if body else b"    "
+    size = language_id.BUCKETS // 2
+    bits = 32 - size.bit_length() + 1
+    table = np.zeros(language_id.BUCKETS)
+    for k in range(3, len(framed)):
+        three = sum(framed[k - j] << 8 * j for j in range(3))
+        four = three + (framed[k - 3] << 24)
+        table[(three * 2654435769 & 0xFFFFFFFF) >> bits] += 1
+        table[size + ((four * 2246822519 & 0xFFFFFFFF) >> bits)] += 1
+    return model.weights.astype(float) @ table / (len(framed) - 3) * language_id.SCALE + model.bias
+
+
+def test_language_margins_by_a_plain_walk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    texts = [r["text"] for r in docs.limit(40).collect() if r["text"]]
+    import pyarrow as pa
+
+    found = model.margins(pa.array(texts, pa.string()))
+    for text, own in zip(texts, found, strict=True):
+        assert np.allclose(own, plain_margins(model, text), atol=1e-3)
+
+
+def test_language_rates_of_any_size(spark):
+    ids = spark.range(400_000)
+    for n in (1e3, 8e7, 1e13):  # 500 of so many
+        found = ids.filter(language_id.drawn(500, F.lit(n), "id")).count()
+        expected = 400_000 * min(1.0, 500 / n)
+        assert abs(found - expected) <= 5 * expected**0.5 + 1e-3 * 400_000 * (n < 1e4)
+    row = spark.createDataFrame([(1, "das ist ein Text", "de")] * 50 + [(2, "this is a text", "en")] * 70, "doc_id long, text string, lang string")
+    model = language_id.fit(row, per_lang=0)  # nothing is drawn, as of rows that repeat without end
+    assert {r["lang_pred"] for r in language_id.predict(row, model).collect()} == {"de", "en"}
+    assert language_id.fit(row, most_langs=1).members == {"germanic": ["en"]}
+
+
+def plain_score(model, text):
+    """A quality score by a walk over the text and the model's tables."""
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    n = max(1, len(raw))
+    named = {name: sum(b in members for b in raw) / n for name, members in quality.CLASSES}
+    known = set(b"".join(members for _, members in quality.CLASSES))
+    named |= {"beyond_ascii": sum(b >= 128 for b in raw) / n, "other": sum(b < 128 and b not in known and not 97 <= b <= 122 for b in raw) / n, "log_bytes": np.log1p(len(raw))}
+    pairs = list(zip(words, words[1:], strict=False))
+    named |= dict.fromkeys(("word_length", "distinct_words", "distinct_pairs", "distinct_lines", "longest_word"), 0.0)
+    if words:
+        named |= {"word_length": sum(map(len, words)) / len(words), "distinct_words": len(set(words)) / len(words), "distinct_pairs": len(set(pairs)) / max(1, len(pairs)), "distinct_lines": len(set(lines)) / len(lines), "longest_word": np.log1p(max(map(len, words)))}
+    bins = [sum(c <= named[f] for c in cuts) for f, cuts in zip(quality.FEATURES, model.cuts, strict=True)]
+    total = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+    coarse = [b * quality.COARSE // (len(c) + 1) for b, c in zip(bins, model.cuts, strict=True)]
+    total += sum(t[coarse[a], coarse[b]] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_scores_by_a_plain_walk(spark, docs):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    model = quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in quality.score(docs, model).collect():
+        assert abs(r["score"] - plain_score(model, texts[r["doc_id"]])) < 1e-9
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", F.col("quality").alias("label"))
