@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from readalong.llm.common import staged
 from readalong.llm.decontamination import clean
 from readalong.llm.near_dedup import kept
-from readalong.llm.packing import packed_documents
+from readalong.llm.packing import Limits, packed_documents
 from readalong.llm.quality import accepted, fit
 from readalong.llm.suffix_dedup import rewritten
 
@@ -44,8 +44,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, and their places in sequences of 1024 tokens."""
-    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of all documents with their token ids, and their places in sequences of 1024 tokens and at most 64 documents."""
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), Limits(documents=64), keep_ids=True)
 
 
 STAGES = [
