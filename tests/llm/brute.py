@@ -3,6 +3,10 @@
 import random
 import re
 
+import numpy as np
+
+from readalong.llm import decontamination, license_scan, quality
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, route long, label string, score double, rest string, digest string"
 
@@ -79,3 +83,74 @@ def near_classes(rows, percent, size):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     return {i: (i, len(s), root(i)) for i, s in sets.items()}
+
+
+def levenshtein_in(item, text):
+    """Least edit distance of item to any part of text."""
+    row = [0] * (len(text) + 1)
+    for a, c in enumerate(item, 1):
+        new = [a]
+        for b, d in enumerate(text, 1):
+            new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def plain_score(model, text):
+    """A quality score by a walk over the text and the model's tables."""
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    n = max(1, len(raw))
+    named = {name: sum(b in members for b in raw) / n for name, members in quality.CLASSES}
+    known = set(b"".join(members for _, members in quality.CLASSES))
+    named |= {"beyond_ascii": sum(b >= 128 for b in raw) / n, "other": sum(b < 128 and b not in known and not 97 <= b <= 122 for b in raw) / n, "log_bytes": np.log1p(len(raw))}
+    pairs = list(zip(words, words[1:], strict=False))
+    named |= dict.fromkeys(("word_length", "distinct_words", "distinct_pairs", "distinct_lines", "longest_word"), 0.0)
+    if words:
+        named |= {"word_length": sum(map(len, words)) / len(words), "distinct_words": len(set(words)) / len(words), "distinct_pairs": len(set(pairs)) / max(1, len(pairs)), "distinct_lines": len(set(lines)) / len(lines), "longest_word": np.log1p(max(map(len, words)))}
+    bins = [sum(c <= named[f] for c in cuts) for f, cuts in zip(quality.FEATURES, model.cuts, strict=True)]
+    total = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+    coarse = [b * quality.COARSE // (len(c) + 1) for b, c in zip(bins, model.cuts, strict=True)]
+    total += sum(t[coarse[a], coarse[b]] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+    return 1 / (1 + np.exp(-total))
+
+
+def held_in(items, text):
+    """(item, edits) of the benchmark items that stand in a text."""
+    out = set()
+    body = decontamination.folded(text or "")
+    for number, item in set(items):
+        f = decontamination.folded(item or "")
+        if not f:
+            continue
+        if len(f) >= decontamination.LEAST_CHARS:
+            d = levenshtein_in(f, body)
+            if d <= decontamination.budget(f):
+                out.add((number, d))
+        elif decontamination.found(f, body) >= 0:
+            out.add((number, 0))
+    return out
+
+
+def licences(texts):
+    """(n_words, places of base phrases, base labels, labels, score) of each text, by a walk over its words."""
+    split = [re.findall(license_scan.WORD, (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    sought = {w for _, template, _ in license_scan.TEMPLATES for w in template.split()} - license_scan.COMMON
+    idf = {w: np.log((len(texts) + 1) / (sum(w in set(ws) for ws in split) + 1)) + 1 for w in sought}
+    out = []
+    for ws in split:
+        stands = lambda parts, at, ws=ws: at >= 0 and ws[at : at + len(parts)] == parts
+        places, base, labels, best = [], set(), set(), 0.0
+        for phrase, label in license_scan.BASE_PHRASES:
+            at = [k for k in range(len(ws)) if stands(phrase.split(), k)]
+            places += at
+            base |= {label} if at else set()
+        for label, template, phrases in license_scan.TEMPLATES:
+            parts, phrase = template.split(), phrases[0].split()
+            i = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
+            for k in range(len(ws)):
+                if stands(phrase, k):
+                    labels.add(label)
+                    got = sum(idf.get(w, 0.0) for j, w in enumerate(parts) if 0 <= k - i + j < len(ws) and ws[k - i + j] == w)
+                    best = max(best, got / sum(idf.get(w, 0.0) for w in parts))
+        out.append((len(ws), places, base, base | labels, best if labels else 0.5 if places else 0.0))
+    return out

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from brute import WORD, bytes_gone, collected, near_classes, windows_gone
+from brute import bytes_gone, collected, levenshtein_in, near_classes, plain_score, windows_gone
 from readalong.llm import decontamination, language_id, license_scan, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts
 
 def test_substring_dedup(docs, rows):
@@ -190,17 +190,6 @@ def test_warm_token_counts_move_no_text(spark, docs, tmp_path):
     assert exchanged and not any("text" in line for line in exchanged)
 
 
-def levenshtein_in(item, text):
-    """Least edit distance of item to any part of text."""
-    row = [0] * (len(text) + 1)
-    for a, c in enumerate(item, 1):
-        new = [a]
-        for b, d in enumerate(text, 1):
-            new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (c != d)))
-        row = new
-    return min(row)
-
-
 def test_decontamination(spark):
     r = random.Random(6)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(300)]
@@ -343,24 +332,6 @@ def test_language_rates_of_any_size(spark):
     assert language_id.fit(row, most_langs=1).members == {"germanic": ["en"]}
 
 
-def plain_score(model, text):
-    """A quality score by a walk over the text and the model's tables."""
-    raw, words, lines = text.encode(), text.split(), text.split("\n")
-    n = max(1, len(raw))
-    named = {name: sum(b in members for b in raw) / n for name, members in quality.CLASSES}
-    known = set(b"".join(members for _, members in quality.CLASSES))
-    named |= {"beyond_ascii": sum(b >= 128 for b in raw) / n, "other": sum(b < 128 and b not in known and not 97 <= b <= 122 for b in raw) / n, "log_bytes": np.log1p(len(raw))}
-    pairs = list(zip(words, words[1:], strict=False))
-    named |= dict.fromkeys(("word_length", "distinct_words", "distinct_pairs", "distinct_lines", "longest_word"), 0.0)
-    if words:
-        named |= {"word_length": sum(map(len, words)) / len(words), "distinct_words": len(set(words)) / len(words), "distinct_pairs": len(set(pairs)) / max(1, len(pairs)), "distinct_lines": len(set(lines)) / len(lines), "longest_word": np.log1p(max(map(len, words)))}
-    bins = [sum(c <= named[f] for c in cuts) for f, cuts in zip(quality.FEATURES, model.cuts, strict=True)]
-    total = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
-    coarse = [b * quality.COARSE // (len(c) + 1) for b, c in zip(bins, model.cuts, strict=True)]
-    total += sum(t[coarse[a], coarse[b]] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
-    return 1 / (1 + np.exp(-total))
-
-
 def test_quality_scores_by_a_plain_walk(spark, docs):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
     model = quality.fit(docs, labels)
