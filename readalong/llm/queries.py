@@ -25,13 +25,19 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+#: Session setting that names the folder of a lasting cache of token counts.
+TOKEN_CACHE = "readalong.token.cache"
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document by piece_bpe_32k.model, through a cache that lasts in the shared folder."""
-    from readalong.llm.common import lasting_dir
+    """Tokens of every document by piece_bpe_32k.model.
+
+    Counts are looked up in the cache that the session names in ``readalong.token.cache``, and new ones are
+    appended to it.  Unset, each call counts all distinct texts anew, with a cache of its own.
+    """
     from readalong.llm.token_counts import count_tokens
 
-    cache = lasting_dir(spark, "token-counts")
-    counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
+    counts = count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), spark.conf.get(TOKEN_CACHE, None))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
