@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ CHUNK_SIZE, ALLOWANCE = 400, 200
 BLANK = rf"\n{SPACE}*\n+"
 #: Stands between sentences while they are told apart; a text that holds it is split the slow way.
 MARK = "\x01"
+#: Stands before a letter for a MARK, or for itself, in texts that hold one.
+ESCAPE = "\x02"
 
 
 def paragraphs(text: Column) -> Column:
@@ -44,52 +48,79 @@ def sentences(block: Column) -> Column:
     return F.filter(_split_after(block, ".!?"), lambda s: s != "")
 
 
-def _packed(parts: Column, most: int, long: bool) -> Column:
-    """Greedy packing: a unit is closed when the next part and a space would pass ``most``.
+#: Parts that one inner fold goes over.
+FOLD = 256
 
-    With ``long``, a part longer than ``most`` closes the unit and is packed clause by clause on its own.
-    """
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("size"))
 
-    def closed(s: Column) -> Column:
-        return F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"]))
+def _packed(parts: Column, most: int) -> Column:
+    """Units of (text, n, long, first) parts, joined by single spaces, in order.
+
+    Greedy: a unit is closed when the next part and a space would pass ``most``.  Clauses of a long sentence
+    are ``long``, the first of them also ``first``: they are packed on their own.
+
+    A fold's state is copied at every step, so it holds no texts: only a mark for each part, 1 where a unit
+    starts, and the unit's size.  An inner fold goes over a few hundred parts, an outer one over those runs.
+    """
+    state = lambda bits, size, long: F.struct(bits.alias("bits"), size.alias("size"), long.alias("long"))
 
     def step(s: Column, part: Column) -> Column:
-        n = F.length(part)
-        full = s["open"].isNotNull() & (s["size"] + n + 1 > most)
-        opened = F.struct(closed(s).alias("done"), part.alias("open"), (n + 1).alias("size"))
-        joined = F.struct(s["done"].alias("done"), F.when(s["open"].isNull(), part).otherwise(F.concat(s["open"], F.lit(" "), part)).alias("open"), (s["size"] + n + 1).alias("size"))
-        taken = F.when(full, opened).otherwise(joined)
-        if not long:
-            return taken
-        apart = F.struct(F.concat(closed(s), clauses(part, most)).alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("size"))
-        return F.when(n > most, apart).otherwise(taken)
+        n = part["n"]
+        opens = (s["size"] < 0) | (s["long"] != part["long"]) | part["first"] | (s["size"] + n + 1 > most)
+        return let(opens, lambda o: state(F.concat(s["bits"], F.when(o, "1").otherwise("0")), F.when(o, n + 1).otherwise(s["size"] + n + 1), part["long"]))
+
+    def run(s: Column, at: Column) -> Column:
+        inner = F.aggregate(F.slice(parts, at + 1, FOLD), state(F.lit(""), s["size"], s["long"]), step)
+        return let(inner, lambda i: state(F.concat(s["bits"], i["bits"]), i["size"], i["long"]))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / FOLD).cast("int")), lambda k: k * FOLD)
+    bits = F.aggregate(runs, state(F.lit(""), F.lit(-1), F.lit(False)), run, lambda s: F.regexp_extract_all(s["bits"], F.lit("."), F.lit(0)))
+    spaced = F.zip_with(parts, bits, lambda p, b: F.concat(F.when(b == "1", MARK).otherwise(" "), p["text"]))
+    units = let(F.split(F.array_join(spaced, ""), MARK), lambda u: F.slice(u, F.lit(2), F.size(u) - 1))
+    plain = lambda u: F.when(u.contains(ESCAPE), F.replace(F.replace(u, F.lit(f"{ESCAPE}a"), F.lit(MARK)), F.lit(f"{ESCAPE}b"), F.lit(ESCAPE))).otherwise(u)
+    return F.when(F.size(parts) > 0, F.transform(units, plain)).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(parts, start, step, closed)
+
+def _part(text: Column, long: bool, first: Column) -> Column:
+    """A part whose text holds no MARK, its length before that, and where it comes from."""
+    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(f"{ESCAPE}b")), F.lit(MARK), F.lit(f"{ESCAPE}a"))
+    marked = F.when(text.contains(MARK) | text.contains(ESCAPE), escaped).otherwise(text)
+    return F.struct(marked.alias("text"), F.length(text).alias("n"), F.lit(long).alias("long"), first.alias("first"))
+
+
+def _short_parts(texts: Column) -> Column:
+    return F.transform(texts, lambda t: _part(t, False, F.lit(False)))
 
 
 def clauses(sentence: Column, most: int) -> Column:
     """A long sentence's clauses, packed; a clause longer than ``most`` stays whole."""
-    return _packed(_split_after(sentence, ";,"), most, False)
+    return let(_short_parts(_split_after(sentence, ";,")), lambda p: _packed(p, most))
+
 
+def _parts(texts: Column, most: int) -> Column:
+    """Sentences as parts; those longer than ``most`` as their clauses."""
+    long = lambda t: F.transform(_split_after(t, ";,"), lambda c, k: _part(c, True, k == 0))
+    return F.flatten(F.transform(texts, lambda t: F.when(F.length(t) > most, long(t)).otherwise(F.array(_part(t, False, F.lit(False))))))
 
-def units(text: Column, most: int = CHUNK_SIZE + ALLOWANCE) -> Column:
-    """Chunks of a text, in order; none spans two paragraphs."""
+
+def units(text: Column, most: int = CHUNK_SIZE + ALLOWANCE, split: Callable[[Column], Column] = sentences) -> Column:
+    """Chunks of a text, in order; none spans two paragraphs.
+
+    ``split`` makes sentences of a block; a trained splitter may stand in as a Pandas UDF.
+    """
 
     def packed(f: Column) -> Column:
         headed = F.when(looks_like_heading(f), F.concat(f, F.lit("."))).otherwise(f)
-        return let(headed, lambda h: F.when(F.length(h) < most, _short(h)).otherwise(_packed(sentences(h), most, True)))
+        return let(headed, lambda h: F.when(F.length(h) < most, _short(h, split)).otherwise(let(_parts(split(h), most), lambda p: _packed(p, most))))
 
     # lines are stripped as they are joined, so blocks need not be; parts of stripped blocks are stripped
     return F.flatten(F.transform(F.split(text, BLANK), lambda b: let(flat(b), packed)))
 
 
-def _short(block: Column) -> Column:
+def _short(block: Column, split: Callable[[Column], Column]) -> Column:
     """The chunk of a block that is shorter than the longest chunk: its sentences joined by single spaces."""
-    return F.when(block == "", F.array().cast("array<string>")).otherwise(F.array(F.array_join(sentences(block), " ")))
+    return F.when(block == "", F.array().cast("array<string>")).otherwise(F.array(F.array_join(split(block), " ")))
 
 
-def chunk_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_SIZE + ALLOWANCE) -> DataFrame:
+def chunk_documents(docs: DataFrame, text: str = "text", most: int = CHUNK_SIZE + ALLOWANCE, split: Callable[[Column], Column] = sentences) -> DataFrame:
     """(doc_id, chunk_index, text): one row for each chunk; texts without prose have none."""
-    return docs.select("doc_id", F.posexplode(units(F.coalesce(text, F.lit("")), most)).alias("chunk_index", "text"))
+    return docs.select("doc_id", F.posexplode(units(F.coalesce(text, F.lit("")), most, split)).alias("chunk_index", "text"))
