@@ -123,6 +123,14 @@ def words_in_blocks(words_: DataFrame, blocks: DataFrame, least: float = WORD_OV
     return claimed.withColumn("word_idx", F.row_number().over(order) - 1)
 
 
+def scanned_words(words_: DataFrame) -> DataFrame:
+    """Words with a non-empty token in the order of a plain scan: page by page, from the top, then from the left."""
+    from readalong.functions.text import normal_token
+
+    named = words_.withColumn("norm", normal_token(F.col("word"))).filter("norm <> ''")
+    return named.withColumn("word_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "y0", "x0", "ordinal")) - 1)
+
+
 def word_order(words_: DataFrame) -> DataFrame:
     """Words with a non-empty token, in reading order: left blocks, those near the middle, right blocks where both sides have some."""
     block = Window.partitionBy(*PAGE, "block_no")

@@ -204,6 +204,14 @@ def spoken_lists(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", cleaning.speak_list_items(items).alias("text"))
 
 
+def scanned_words(spark, sf_dir):
+    """Inline words, and all conversations' printed words in mixed order, as a plain scan gives them."""
+    columns = ("doc_id", "page_index", "ordinal", "x0", "y0", "word")
+    printed = queries.printed_words(spark, sf_dir)
+    mixed = printed.select((F.col("doc_id") + 1000).alias("doc_id"), "page_index", (F.lit(0) - F.col("word_idx")).alias("ordinal"), (F.col("nx0") * 600).alias("x0"), (F.col("ny0") * 800).alias("y0"), F.col("norm").alias("word"))
+    return layout.scanned_words(spark.sql(fixtures.WORDS).select(*columns).unionAll(mixed)).select("doc_id", "page_index", "ordinal", "word_idx", "norm")
+
+
 def document_order(spark, sf_dir):
     """Reading order of all documents' lines as blocks of two columns, forty to a page."""
     lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "txt"))
@@ -292,6 +300,6 @@ def null_defaults(spark, sf_dir):
 
 ALL: tuple[Query, ...] = (
     reader_run, reader_coverage, run_options, preflight_check, source_requests, decoded_texts, read_files, read_metadata, chunk_files, source_page_files, cache_skip, job_manifest, job_polls,
-    result_reads, stream_progress, stage_metrics, request_latency, merge_guard, timed_audio, nested_text, layout_filter, extract_layout, spoken_tables, spoken_lists, document_order,
+    result_reads, stream_progress, stage_metrics, request_latency, merge_guard, timed_audio, nested_text, layout_filter, extract_layout, spoken_tables, spoken_lists, document_order, scanned_words,
     timing_source, alignment_payload, active_highlight, page_append, page_size, unit_display, elapsed_split, auto_advance, null_defaults,
 )

@@ -88,6 +88,9 @@ SELECT doc_id, manifest_md5, CASE WHEN manifest_md5 IS NULL THEN 'No audio files
 SELECT f.doc_id, string_agg(txt, chr(10) || chr(10) ORDER BY f.page_index, reading_pos) AS text FROM f JOIN p ON p.doc_id = f.doc_id AND p.page_index = f.page_index AND p.ordinal = f.ordinal WHERE drop_reason IS NULL GROUP BY 1""",
         "spoken_tables": o._tables(_ROWS),
         "spoken_lists": f"SELECT doc_id, {o._LISTS} AS text FROM ({_ITEMS})",
+        "scanned_words": f"""WITH {o._PRINTED}, w AS (SELECT doc_id, page_index, ordinal, x0, y0, regexp_replace(replace(lower(word), '’', ''''), '[^a-z0-9'']+', '', 'g') AS norm FROM ({fixtures.WORDS})
+UNION ALL SELECT doc_id + 1000, word_idx // 40, -word_idx, word_idx % 10 * 60.0, word_idx % 40 // 10 * 200.0, norm FROM printed)
+SELECT doc_id, CAST(page_index AS INTEGER) AS page_index, CAST(ordinal AS INTEGER) AS ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, y0, x0, ordinal) - 1 AS INTEGER) AS word_idx, norm FROM w WHERE norm <> ''""",
         "document_order": o._ordered(_GRID),
         "timing_source": f"""WITH {_WORDS}, s AS (SELECT doc_id, timing_source, count(*) AS n_spoken, round(max(e), 3) AS last_end FROM spoken GROUP BY ALL)
 SELECT s.*, CASE WHEN doc_id % 2 = 0 THEN 'metadata' ELSE 'scan' END AS word_source, n_printed FROM s JOIN (SELECT doc_id, count(*) AS n_printed FROM est GROUP BY 1) USING (doc_id)""",
