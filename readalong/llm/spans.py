@@ -209,7 +209,10 @@ def exchanged(source: DataFrame, entries: Callable[[pa.RecordBatch], tuple], whe
     def frequent(key: np.ndarray, least: int) -> list[tuple]:
         keys, count = np.unique(key, return_counts=True)
         many = count >= least
-        return [(0, 0, FREQUENT, None, count[many].astype("<i8").tobytes(), keys[many].astype("<u8").tobytes())] if many.any() else []
+        if not many.any():
+            return []
+        keys, count = keys[many], count[many]  # any partition will do, but not the same for all slices
+        return [(int(where.routes(keys[:1])[0][0]), 0, FREQUENT, None, count.astype("<i8").tobytes(), keys.astype("<u8").tobytes())]
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             docs = doc_table(batch)
