@@ -8,8 +8,8 @@ merge into maximal removal intervals.
 
 The first pass can only let too much through.  What decides is the second hash, of 122 bits over 128-bit
 BLAKE2 digests of the words: two given windows with different words agree in it with a chance of at most
-(width / 2**61)**2, so over n windows any false match has a chance of n * n * 2**-114 at width 20 (1e-7 for the
-1.4e13 windows of 100 TB), whatever the words are.
+(width / 2**61)**2, so over n windows any false match has a chance of n * n * 2**-114 at width 20 (1e-8 for the
+1.4e13 windows of 100 TB), whatever the words are, unless they were made with the two bases in mind.
 """
 
 from __future__ import annotations
