@@ -5,9 +5,9 @@ Only distinct texts that the table lacks are encoded; their counts are appended,
 joined to the table.
 
 Digests and ids alone decide which rows are encoded: one for each digest that the table lacks.  Few such
-rows are found where they are read, by a broadcast list of at most ``FEW`` of them, and nothing moves, as
-on every run over texts that the table knows; more of them meet the texts in a join, and then the texts of
-all rows move once.  Digests that more than one row in ``HEAVY`` has get their counts by broadcast.
+rows are found where they are read, by a broadcast list of at most ``FEW`` of them, and only their texts
+move, so none at all on a run over texts that the table knows; more of them meet the texts in a join, and
+then the texts of all rows move once.  Digests that more than one row in ``HEAVY`` has get their counts by broadcast.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     if todo:
         wanted = F.broadcast(missing) if todo <= FEW else missing.hint("shuffle_hash")
         new = keyed.join(wanted, (F.col("digest") == F.col("miss")) & F.col("id").eqNullSafe(F.col("miss_id")), "left_semi").select("digest", "text")
+        if todo <= FEW:  # a row that repeats is there more than once
+            new = new.dropDuplicates(["digest"])
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = _counter(tokenizer_path)
