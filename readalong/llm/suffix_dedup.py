@@ -42,7 +42,7 @@ GRAM = 18
 SHALLOW = 32
 _BYTE = mixed(5, 256)
 #: An anchor is frequent if a slice of documents holds it so often, or if so many slices hold it.
-OFTEN, SLICES_OFTEN = 64, 256
+OFTEN, SLICES_OFTEN = 256, 256
 MOST_FREQUENT = 10_000
 #: Texts of more bytes are read for anchors in parts of so many; two strings' parts overlap, so none is cut.
 LONG = 1 << 22
