@@ -106,8 +106,13 @@ def changed_sizes(known: DataFrame, sizes: DataFrame, by: list[str]) -> DataFram
 
 
 def megabytes(size: Column) -> Column:
-    """Bytes as MB with two decimals."""
-    return F.format_string("%.2f MB", size / 1024 / 1024)
+    """Bytes as MB with two decimals; ties go to the even one, as C's printf rounds, and whole numbers decide them exactly."""
+    step = size.cast("long") * 25  # of a hundredth of a MB
+    whole = F.shiftright(step, 18)
+    rest = step.bitwiseAND((1 << 18) - 1)
+    up = (rest > 1 << 17) | ((rest == 1 << 17) & (whole % 2 == 1))
+    hundredths = whole + F.when(up, 1).otherwise(0)
+    return F.when(size.isNotNull(), F.format_string("%d.%02d MB", F.floor(hundredths / 100), hundredths % 100))
 
 
 def minutes(seconds: Column) -> Column:

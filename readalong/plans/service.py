@@ -275,7 +275,7 @@ def page_size(spark, sf_dir):
 def unit_display(spark, sf_dir):
     """Bytes of all documents as MB, and the length of their audio as minutes."""
     docs = _documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
-    return docs.select("doc_id", playback.megabytes(F.col("n") * 1000).alias("size"), playback.minutes(F.col("n") / 16).alias("audio"))
+    return docs.select("doc_id", playback.megabytes(F.col("n").cast("long") * 1000).alias("size"), playback.minutes(F.col("n") / 16).alias("audio"))
 
 
 def elapsed_split(spark, sf_dir):

@@ -39,6 +39,16 @@ def test_same_as_duckdb(spark, duck, name):
     assert sorted(rows, key=repr) == sorted((tuple(plain(v) for v in r) for r in expected), key=repr)
 
 
+def test_unit_display_rounds_as_its_sql(spark, duck, tmp_path):
+    sizes = [0, 1, 5242, 5243, 16383, 16384, 16385, 49152, 81920, 114688, 1048576, 2_200_000, 10 * 32768 + 16384]
+    texts = [None, "\u00e9" * 8192, *("x" * n for n in sizes)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.queries()["unit_display"](spark, str(tmp_path)).select("doc_id", "size", "audio").collect()
+    twin = duckdb.connect()
+    twin.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, found)) == sorted(twin.sql(oracles.oracle_sql()["unit_display"]).fetchall())
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
 
