@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 LOOKAHEAD, SPREAD, LEAST_WINDOW, LEAST_SCORE, LEAST_TOKENS = 6, 3, 24, 0.33, 4
 #: UTF-8 bytes of passages that one pass over the documents takes.
 BLOCK_BYTES = 4 << 20
+#: Passages that are looked up at once, and uses of their tokens in documents that one pass holds.
+GROUP, MOST_USES = 256, 1 << 20
+#: Runs of places in which chains are counted at once.
+RUNS = 1024
 #: Chunks that one row brings to a worker.
 CHUNKS_PER_ROW = 1024
 #: Words of a document up to which all starts are tried at once.
@@ -21,7 +26,7 @@ FEW_WORDS = 2048
 MATCHES = "doc_id long, chunk_index long, score double, span int, matched array<int>, n_matched int, n_tokens int"
 
 
-def _best(chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int) -> tuple[int, int, list[int]] | None:
+def _best(chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int, starts: np.ndarray | None = None) -> tuple[int, int, list[int]] | None:
     """(start, span, matched places) of the best start, or None if no start matches enough.
 
     From each start every token takes its first place among the next words before the window's end, or
@@ -30,16 +35,17 @@ def _best(chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: in
     A start that matches k of m tokens misses m - k, so of any m - k + 1 tokens it matches one, whose place
     stands in its window.  Starts are tried around the places of the rarest tokens, of one, two, four and so
     on, until these are more than a start that is at least as good as the best can miss; in a short document
-    around all of them at once.
+    around all of them at once.  With ``starts``, which hold all that match enough, only these are tried.
     """
     m = len(chunk)
     window = max(SPREAD * m, LEAST_WINDOW)
     least = max(min(LEAST_TOKENS, m), math.ceil(LEAST_SCORE * m))
     none = np.zeros(0, int)
-    rarest = sorted(chunk, key=lambda w: len(places.get(w, none)))
+    best = _best_of(starts, chunk, places, n, lookahead, window) if starts is not None else None
+    rarest = sorted(chunk, key=lambda w: len(places.get(w, none))) if starts is None else []
     tried = np.zeros(n, bool)
-    best, k, used = None, 0, 0
-    while k < (most := m - max(least, -best[0] if best else 0) + 1):
+    k, used = 0, 0
+    while starts is None and k < (most := m - max(least, -best[0] if best else 0) + 1):
         k = most if n <= FEW_WORDS else min(max(1, 2 * k), most)
         around = np.zeros(n + 1, int)
         for token in dict.fromkeys(rarest[used:k]):
@@ -64,11 +70,11 @@ def _best_of(start: np.ndarray, chunk: list[str], places: dict[str, np.ndarray],
         own = places.get(token)
         if own is None:
             continue
-        k = np.searchsorted(own, at)
-        p = np.append(own, n + lookahead + 1)[k]
-        hit = (p <= at + lookahead) & (p < limit)
-        first = np.where(hit & (first < 0), p, first)
-        at = np.where(hit, p + 1, at)
+        k = own.searchsorted(at)
+        p = own.take(k, mode="clip")
+        hit = (p >= at) & (p <= at + lookahead) & (p < limit)
+        np.copyto(first, p, where=hit & (first < 0))
+        np.copyto(at, p + 1, where=hit)
         count += hit
     if not count.any():
         return None
@@ -97,10 +103,10 @@ def _places(said: list[str]) -> dict[str, np.ndarray]:
     return {w: np.array(p) for w, p in places.items()}
 
 
-def _row(doc: int, index: int, chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int) -> list[tuple]:
+def _row(doc: int, index: int, chunk: list[str], places: dict[str, np.ndarray], n: int, lookahead: int, starts: np.ndarray | None = None) -> list[tuple]:
     """The row of a chunk that matches, or none."""
     m = len(chunk)
-    found = _best(chunk, places, n, lookahead) if m and n else None
+    found = _best(chunk, places, n, lookahead, starts) if m and n else None
     if found:
         return [(doc, index, len(found[2]) / m, found[1], found[2], len(found[2]), m)]
     return []
@@ -146,11 +152,122 @@ def word_arrays(printed: DataFrame) -> DataFrame:
     return printed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "norm"))), lambda x: x["norm"]).alias("words"))
 
 
+class Passages:
+    """A group of passages (index, tokens), indexed by token, that says which documents may match which of them.
+
+    What a start matches stands at places of a passage's tokens that are at most ``lookahead`` + 1 apart.  So
+    a document's places of those tokens are cut where they are farther apart, and a passage may match only
+    where one run of places holds as many of its tokens as the least match has, and a chain of so many
+    in their order.  Runs longer than two windows are cut into ones that overlap by a window.
+    """
+
+    def __init__(self, passages: list[tuple[int, list[str]]], lookahead: int) -> None:
+        self.passages, self.reach = passages, lookahead + 1
+        self.least = np.array([max(min(LEAST_TOKENS, len(c)), math.ceil(LEAST_SCORE * len(c))) for _, c in passages], int)
+        self.window = np.array([max(SPREAD * len(c), LEAST_WINDOW) for _, c in passages], int)
+        held: dict[str, dict[int, list[int]]] = {}
+        for p, (_, chunk) in enumerate(passages):
+            for i, token in enumerate(chunk):
+                held.setdefault(token, {}).setdefault(p, []).append(i)
+        self.tokens = pa.array(held, pa.string())
+        self.count = np.array([len(x) for x in held.values()], int)
+        self.first = np.cumsum(self.count) - self.count
+        uses = [(p, at) for x in held.values() for p, at in x.items()]
+        self.passage = np.array([p for p, _ in uses], np.int16)
+        self.bits = np.zeros((-(-max(len(c) for _, c in passages) // 64), len(uses)), np.uint64)
+        for u, (_, at) in enumerate(uses):
+            for i in at:
+                self.bits[i >> 6, u] |= np.uint64(1 << (i & 63))
+
+    def candidates(self, words: pa.Array, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(document, passage, starts) of those that may match, with all starts that may; document d has words off[d] to off[d + 1]."""
+        import pyarrow.compute as pc
+
+        coded = words.dictionary_encode("encode")
+        token = pc.index_in(coded.dictionary, self.tokens).fill_null(-1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+        uses = np.concatenate([[0], np.cumsum(np.where(token >= 0, self.count[token], 0))])[off]
+        lo = 0
+        while lo < len(off) - 1:
+            hi = max(lo + 1, int(np.searchsorted(uses, uses[lo] + MOST_USES, "right")) - 1)
+            for d, p, starts in self._runs(token[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
+                yield lo + d, p, starts
+            lo = hi
+
+    def _runs(self, token: np.ndarray, off: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        place = np.flatnonzero(token >= 0)
+        token = token[place]
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[place]
+        count = self.count[token]
+        use = np.repeat(self.first[token] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        if not len(use):
+            return []
+        order = np.argsort(self.passage[use], kind="stable")
+        use = use[order]
+        at = np.repeat(place + doc * self.reach, count)[order]  # documents stand apart
+        passage = self.passage[use]
+        begins = np.flatnonzero(np.concatenate([[True], (passage[1:] != passage[:-1]) | (at[1:] - at[:-1] > self.reach)]))
+        size = np.diff(np.append(begins, len(use)))
+        window = self.window[passage[begins]]
+        parts = np.maximum(1, -(-size // window) - 1)
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        before = part * np.repeat(window, parts)
+        begins, size = np.repeat(begins, parts) + before, np.minimum(np.repeat(size, parts) - before, 2 * np.repeat(window, parts))
+        long = size >= self.least[passage[begins]]
+        begins, size = begins[long], size[long]
+        if not len(begins):
+            return []
+        inner = np.cumsum(size) - size
+        rows = np.repeat(begins - inner, size) + np.arange(size.sum())
+        found = sum(np.bitwise_count(np.bitwise_or.reduceat(bits[use[rows]], inner)).astype(int) for bits in self.bits)
+        enough = found >= self.least[passage[begins]]
+        begins, size = begins[enough], size[enough]
+        if len(self.bits) == 1:
+            chained = self._chained(begins, size, self.bits[0][use], at, self.least[passage[begins]])
+            begins, size = begins[chained], size[chained]
+        owner = np.repeat(doc, count)[order[begins]]
+        shift = owner * self.reach + off[owner]
+        found = {}
+        for d, p, lo, hi in zip(owner.tolist(), passage[begins].tolist(), (at[begins] - shift).tolist(), (at[begins + size - 1] - shift).tolist(), strict=True):
+            found.setdefault((d, p), []).append(np.arange(max(0, lo - self.reach + 1), hi + 1))
+        return [(d, p, np.unique(np.concatenate(starts))) for (d, p), starts in found.items()]
+
+    def _chained(self, begins: np.ndarray, size: np.ndarray, bits: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether each run has a chain of ``least`` tokens in their order, each near the one before.
+
+        For each place and length the tokens that may follow a chain that ends there: those behind the earliest last one.
+        """
+        done = np.zeros(len(begins), bool)
+        by = np.argsort(-size, kind="stable")
+        one = np.uint64(1)
+        for lo in range(0, len(by), RUNS):
+            own = by[lo : lo + RUNS]
+            need = least[own] - 1
+            n, most = len(own), int(least[own].max())
+            near = deque([(np.zeros(n, int) - 2 * self.reach, np.zeros((most, n), np.uint64))], self.reach)
+            ends = np.searchsorted(-size[own], -np.arange(int(size[own[0]])), "left")
+            for step, n in enumerate(ends.tolist()):  # the runs that are longer than the step
+                row = begins[own[:n]] + step
+                here = at[row]
+                follow = np.zeros((most, n), np.uint64)  # by the length of the chain before
+                for there, after in near:
+                    close = (here - there[:n] <= self.reach).astype(np.uint64)
+                    follow |= after[:, :n] & (~close + one)
+                follow[0] = ~np.uint64(0)
+                follow &= bits[row]
+                done[own[:n]] |= follow[need[:n], np.arange(n)] != 0
+                low = follow & (~follow + one)
+                low |= low - one
+                after = np.zeros((most, n), np.uint64)
+                np.invert(low[:-1], out=after[1:])
+                near.append((here, after))
+        return done
+
+
 def match_passages(passages: DataFrame, words: DataFrame, lookahead: int = LOOKAHEAD) -> DataFrame:
     """As ``match_chunks``, of every passage (chunk_index, chunk) with every document (doc_id, words).
 
-    No document moves: passages go to the workers in blocks of a fixed size.  Only a passage with too few
-    of its tokens anywhere in a document to reach the least match is not scanned there.
+    No document moves: passages go to the workers in blocks of a fixed size.  A passage is scanned for in
+    a document only where enough of its tokens stand close enough together (``Passages``).
     """
     passages = passages.select(F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
     total = passages.agg(F.sum(F.octet_length(F.array_join("chunk", " ")))).first()[0] or 0
@@ -160,22 +277,18 @@ def match_passages(passages: DataFrame, words: DataFrame, lookahead: int = LOOKA
         block = [(r["chunk_index"], r["chunk"]) for r in passages.filter(F.pmod(F.xxhash64("chunk_index", "chunk"), F.lit(n)) == k).collect() if r["chunk"]]
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            uses: dict[str, list[int]] = {}
-            for p, (_, chunk) in enumerate(block):
-                for token in chunk:
-                    uses.setdefault(token, []).append(p)
-            index = {token: np.array(ps) for token, ps in uses.items()}
-            sizes = np.array([len(chunk) for _, chunk in block], int)
+            groups = [Passages(block[i : i + GROUP], lookahead) for i in range(0, len(block), GROUP)]
             for batch in batches:
+                docs, column = batch.column("doc_id").to_pylist(), batch.column("words")
+                sizes = [x or 0 for x in column.value_lengths().to_pylist()]
+                off, said = np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
+                places: dict[int, dict[str, np.ndarray]] = {}
                 rows: list[tuple] = []
-                for doc, said in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                    places = _places(said or [])
-                    held = [index[w] for w in places if w in index]
-                    if not held:
-                        continue
-                    most = np.bincount(np.concatenate(held), minlength=len(block))
-                    for p in np.flatnonzero((most >= np.minimum(LEAST_TOKENS, sizes)) & (most / sizes >= LEAST_SCORE)):
-                        rows += _row(doc, *block[p], places, len(said), lookahead)
+                for group in groups:
+                    for d, p, starts in group.candidates(said, off):
+                        if d not in places:
+                            places[d] = _places(said.slice(off[d], sizes[d]).to_pylist())
+                        rows += _row(docs[d], *group.passages[p], places[d], sizes[d], lookahead, starts)
                 yield _batch(rows)
 
         out = out.unionAll(bounded(words.select(F.col("doc_id").cast("long").alias("doc_id"), "words")).mapInArrow(run, MATCHES))
