@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -106,3 +107,42 @@ def test_lanes_are_polynomials():
         for k, base in enumerate(spans.LANES):
             for i in range(len(found)):
                 assert int(found[i, k]) == sum(int(x[i + j, k]) * pow(base, width - 1 - j, spans.PRIME) for j in range(width)) % spans.PRIME
+
+
+def test_names_of_documents_are_packed_small():
+    r = np.random.default_rng(2)
+    ids = np.sort(r.choice(3_000_000, 400, replace=False))
+    docs = np.empty(400, spans.DOC)
+    docs["id"], docs["tk"], docs["db"] = ids, 0, r.integers(0, 600, 400)
+    packed = spans.zip_docs(docs)
+    assert (spans.unzip_docs(packed) == docs).all() and len(packed) < 5 * len(docs)
+    odd = np.array([(spans.NULL_ID, -1, 0), (2**63 - 1, spans.NULL_ID, 2**31 - 1), (-5, 2**63 - 1, 7), (0, 0, 0)], spans.DOC)
+    for table in (odd, odd[:1], odd[:0], odd[3:]):
+        assert (spans.unzip_docs(spans.zip_docs(table)) == table).all()
+
+
+def test_verdicts_of_documents_from_many_rows():
+    r = random.Random(6)
+    known, plain = spans.Verdicts(), {}
+    where = spans.Layout(1, 1, 1)
+    for _ in range(30):
+        docs = np.array(r.sample([(i, t, 0) for i in range(12) for t in (0, 5)], 6), dtype="i8")
+        docs = np.array([tuple(d) for d in docs.tolist()], spans.DOC)
+        doc, start, size = (np.array([r.randrange(n) for _ in range(9)]) for n in (6, 1000, 40))
+        for row in spans.verdict_rows(docs, doc, start, size, where):
+            known.add(row[3], row[4])
+        for d, a, b in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True):
+            plain.setdefault((int(docs["id"][d]), int(docs["tk"][d])), []).append((a, b))
+    keys = [(i, t) for i in range(14) for t in (0, 5)] + [(3, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])], ["id", "tk"])
+    named, start, size = known.of(batch)
+    expected = sorted((n, a, b) for n, key in enumerate(keys) for a, b in plain.get(key, ()))
+    assert sorted(zip(named.tolist(), start.tolist(), size.tolist(), strict=True)) == expected
+    assert not len(spans.Verdicts().of(batch)[0])
+
+
+def test_ids_alone_name_documents_where_none_repeats(spark):
+    named = lambda rows: {r["tk"] for r in spans.keyed(spark.createDataFrame(rows, "doc_id long, text string"), spans.Layout(3, 3, 1)).collect()}
+    assert named([(1, "a"), (2, "b"), (None, "c")]) == {0}
+    assert len(named([(1, "a"), (1, "b")])) == 2 and len(named([(None, "a"), (None, "b")])) == 2
+    assert named([]) == set()
