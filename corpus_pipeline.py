@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readalong.llm.common import staged
+from readalong.llm.common import drop_folder, staged
 from readalong.llm.decontamination import clean
 from readalong.llm.near_dedup import kept
 from readalong.llm.packing import Limits, packed_documents
@@ -63,8 +63,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = staged(docs, f"stage-{name}")
+            docs, path = staged(docs, f"stage-{name}")
+            if before is not None:
+                drop_folder(spark, before)
+            before = path
     return docs

@@ -7,9 +7,11 @@ lineage.  Where that setting is absent a local session has a folder of its own;
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,22 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+_STAGED: ContextVar[tuple[list[str], ...]] = ContextVar("staged", default=())
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders staged inside, which are deleted at the end; remove those that will still be read from the list."""
+    paths: list[str] = []
+    token = _STAGED.set((*_STAGED.get(), paths))
+    try:
+        yield paths
+    finally:
+        _STAGED.reset(token)
+        for path in paths:
+            drop_folder(spark, path)
+
+
 #: Narrow rows that one task writes.
 ROWS_PER_TASK = 50_000
 
@@ -77,6 +95,8 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame
     """
     spark = df.sparkSession
     path = shared_dir(spark, name) + "/t"
+    for paths in _STAGED.get():
+        paths.append(path)
     if rows is not None:
         df = df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
     df.write.option("compression", "zstd").parquet(path)

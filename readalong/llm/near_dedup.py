@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readalong.llm.common import arrow_map, passes, slices, staged, text_of
+from readalong.llm.common import arrow_map, passes, passing, slices, staged, text_of
 from readalong.llm.spans import NULL_ID, lanes, mixed, settle_bits
 from readalong.llm.substring_dedup import word_digests, words
 
@@ -474,6 +474,8 @@ def kept(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
 
     Rows with a null id stay.  Rows that repeat one doc_id stay or go together.
     """
-    gone = classes(docs, percent, shingle).filter("doc_id <> component_id or component_id is null and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    gone, _ = staged(gone, "gone")
+    with passing(docs.sparkSession) as folders:
+        gone = classes(docs, percent, shingle).filter("doc_id <> component_id or component_id is null and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+        gone, path = staged(gone, "gone")
+        folders.remove(path)
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -41,8 +41,10 @@ GRAM = 18
 #: Suffixes are sorted by so many bytes with multikey quicksort; blind tries order what is still equal.
 SHALLOW = 48
 _BYTE = mixed(5, 256)
-#: An anchor is frequent if a slice of documents holds it so often, or if so many slices hold it.
-OFTEN, SLICES_OFTEN = 256, 256
+#: An anchor is frequent if a slice of documents holds it ``OFTEN`` times, or if so many slices hold it, or so many times
+#: those that hold it ``COUNTED`` times at least, that it counts ``OFTEN_IN_ALL``.  Below that its runs are at most about
+#: 60,000, less than a bucket has anyway, and a frequent anchor's strings take many times the bytes of its runs.
+COUNTED, OFTEN, OFTEN_IN_ALL = 16, 256, 4096
 MOST_FREQUENT = 10_000
 #: Texts of more bytes are read for anchors in parts of so many; two strings' parts overlap, so none is cut.
 LONG = 1 << 22
@@ -337,8 +339,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verdicts(source: DataFrame, where: Layout, width: int) -> DataFrame:
     """Stored verdict rows: starts of strings that also start in an earlier document."""
     long = LONG
-    shared, path = staged(exchanged(source, _anchor_entries(width), where, "shared", 6, (OFTEN, SLICES_OFTEN)), "anchors")
-    counts = arrow_map(shared.filter(F.col("kind") == FREQUENT).select("places", "keys"), _frequent, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    shared, path = staged(exchanged(source, _anchor_entries(width), where, "shared", 6, (COUNTED, OFTEN_IN_ALL)), "anchors")
+    counts = arrow_map(shared.filter(F.col("kind") == FREQUENT).select("places", "keys"), _frequent, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"), F.max("count").alias("most")).filter((F.col("most") >= OFTEN) | (F.col("count") >= OFTEN_IN_ALL))
     frequent = np.array([r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).collect()], np.uint64)
 
     def send(batch: pa.RecordBatch, known: Verdicts) -> Iterator[pa.RecordBatch]:

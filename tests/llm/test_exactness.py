@@ -1,5 +1,6 @@
 """Different texts stay different: patterns that defeat rolling hashes, and hashes narrowed until they collide."""
 
+import os
 import random
 from collections import Counter
 
@@ -100,6 +101,28 @@ def test_a_footer_does_not_meet_in_one_bucket(footers, monkeypatch):
     assert max(buckets.values()) <= 2 * np.median(list(buckets.values()))
 
 
+def test_an_anchor_of_many_slices_is_not_parted(spark, monkeypatch):
+    r = random.Random(4)
+    passage = "an ordinary part of sentences, shared by"  # shorter than a string
+    rows = [(k, f"{r.randbytes(40).hex()} {passage} {r.randbytes(40).hex()}") for k in range(300)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 300), "doc_id long, text string")  # each a slice
+    kept = []
+    monkeypatch.setattr(suffix_dedup, "with_verdicts", lambda *a: kept.append(spans.with_verdicts(*a)) or kept[-1])
+    monkeypatch.setattr(suffix_dedup, "drop_folder", lambda *a: None)
+    assert suffix_dedup.dedup(docs).filter("n_removed > 0").count() == 0
+    sizes = [len(zstandard.decompress(bytes(x["places"]))) // 12 for x in kept[0].filter(f"kind = {spans.ENTRY}").collect()]
+    assert 300 <= sum(sizes) <= 300 * 8  # runs; otherwise each of their strings is one
+
+
+def test_near_dedup_keeps_only_the_folder_that_it_still_reads(spark, docs):
+    staged, taken = [], near_dedup.staged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dedup, "staged", lambda *a, **b: staged.append(taken(*a, **b)) or staged[-1])
+        left = near_dedup.kept(docs, 80, 5)
+    there = [path for _, path in staged if os.path.isdir(path.removeprefix("file:"))]
+    assert len(staged) > 5 and there == [staged[-1][1]] and 0 < left.count() < docs.count()
+
+
 def test_lanes_are_polynomials():
     x = np.random.default_rng(0).integers(0, spans.PRIME, (60, 2), dtype=np.uint64)
     for width in (1, 3, 7, 20):
